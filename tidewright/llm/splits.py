@@ -156,6 +156,5 @@ def assign(records: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
 def balance(assigned: DataFrame, targets: DataFrame) -> DataFrame:
     """Per target split: its share, the records it got and the share it got."""
     got = assigned.groupBy(F.col("new_split").alias("target_split")).agg(F.count("*").alias("records"), F.countDistinct("group_id").alias("sets"))
-    total = assigned.agg(F.count("*").alias("total"))
-    joined = targets.select("target_split", "share").join(got, "target_split", "left").crossJoin(F.broadcast(total))  # one row
-    return joined.select("target_split", "share", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("sets", F.lit(0)).alias("sets"), (F.coalesce("records", F.lit(0)) / F.col("total")).alias("share_got"))
+    joined = targets.select("target_split", "share").join(got, "target_split", "left").na.fill(0, ["records", "sets"])
+    return joined.withColumn("share_got", F.try_divide(F.col("records").cast("double"), F.sum("records").over(Window.partitionBy())))
