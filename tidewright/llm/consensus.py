@@ -33,6 +33,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tidewright.functions.text import squeezed, value_or_null
 from tidewright.session import cut
@@ -101,7 +102,7 @@ def _normal(p: float) -> float:
     return low
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _low_quantile(n: pd.Series) -> pd.Series:
     quantile = {k: _chi2(ALPHA / 2, k) for k in n.unique()}
     return n.map(quantile)
