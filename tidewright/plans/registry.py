@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.plans import nested
+from tidewright.plans import dashboard, evaluation, nested, relational, sequences
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [nested]
+MODULES = [dashboard, nested, relational, sequences, evaluation]
 
 
 def queries() -> dict[str, Query]:
