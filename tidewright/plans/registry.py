@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.plans import dashboard, evaluation, nested, relational, sequences
+from tidewright.plans import dashboard, evaluation, lineage, nested, relational, sequences
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [dashboard, nested, relational, sequences, evaluation]
+MODULES = [dashboard, nested, relational, sequences, evaluation, lineage]
 
 
 def queries() -> dict[str, Query]:
