@@ -43,9 +43,9 @@ def dashboard_counts(spark: SparkSession, d: str) -> DataFrame:
         F.count_if(F.col("seen") == 2).alias("two_regions"),
         F.count_if(F.col("seen") == 3).alias("three_regions"),
         F.count_if(F.array_contains(regions, "Body")).alias("with_body"),
-        F.round(F.avg(finite(F.col("final_support"))) * 100, 2).alias("avg_support"),
-        F.round(F.avg(finite(F.col("grade_margin"))) * 100, 2).alias("avg_margin"),
-        F.round(F.avg(finite(F.col("processing_time_ms"))), 2).alias("avg_ms"),
+        F.round(F.avg(finite(F.col("final_support"))) * 100, 8).alias("avg_support"),
+        F.round(F.avg(finite(F.col("grade_margin"))) * 100, 8).alias("avg_margin"),
+        F.round(F.avg(finite(F.col("processing_time_ms"))), 8).alias("avg_ms"),
     )
 
 
@@ -53,7 +53,7 @@ def pivot_averages(spark: SparkSession, d: str) -> DataFrame:
     """Average support by tracker backend, one column per grade."""
     sessions = read(spark, d, "inspection_sessions").select("session_id", F.coalesce("tracker_backend", F.lit("none")).alias("backend"))
     rows = read(spark, d, "fish_inspections").select("session_id", "final_grade", finite(F.col("final_support")).alias("support"))
-    out = rows.join(sessions, "session_id").groupBy("backend").pivot("final_grade", list(BUCKETS)).agg(F.round(F.avg("support"), 4))
+    out = rows.join(sessions, "session_id").groupBy("backend").pivot("final_grade", list(BUCKETS)).agg(F.round(F.avg("support"), 10))
     return out.withColumnsRenamed({b: b.lower().replace(" ", "_") for b in BUCKETS})
 
 
@@ -170,9 +170,9 @@ ORACLES = {
     "bucket_distribution": f"""select bucket, count(f.b)::bigint as n from (values {_BUCKET_ROWS}) v(bucket)
         left join (select case when final_grade in ({', '.join(repr(b) for b in BUCKETS)}) then final_grade else 'Ungraded' end as b from fish_inspections) f on f.b = bucket group by bucket""",
     "dashboard_counts": f"""select count(*) as rows, count(*) filter (final_grade = 'Ungraded') as ungraded, count(*) filter (len({_REGIONS}) = 1) as one_region, count(*) filter (len({_REGIONS}) = 2) as two_regions,
-        count(*) filter (len({_REGIONS}) = 3) as three_regions, count(*) filter (list_contains({_REGIONS}, 'Body')) as with_body, round(avg(final_support) filter (isfinite(final_support)) * 100, 2) as avg_support,
-        round(avg(grade_margin) filter (isfinite(grade_margin)) * 100, 2) as avg_margin, round(avg(processing_time_ms) filter (isfinite(processing_time_ms)), 2) as avg_ms from fish_inspections""",
-    "pivot_averages": "select backend, " + ", ".join(f"round(avg(s) filter (final_grade = '{b}'), 4) as {b.lower().replace(' ', '_')}" for b in BUCKETS) + """ from (select coalesce(tracker_backend, 'none') as backend, final_grade,
+        count(*) filter (len({_REGIONS}) = 3) as three_regions, count(*) filter (list_contains({_REGIONS}, 'Body')) as with_body, round(avg(final_support) filter (isfinite(final_support)) * 100, 8) as avg_support,
+        round(avg(grade_margin) filter (isfinite(grade_margin)) * 100, 8) as avg_margin, round(avg(processing_time_ms) filter (isfinite(processing_time_ms)), 8) as avg_ms from fish_inspections""",
+    "pivot_averages": "select backend, " + ", ".join(f"round(avg(s) filter (final_grade = '{b}'), 10) as {b.lower().replace(' ', '_')}" for b in BUCKETS) + """ from (select coalesce(tracker_backend, 'none') as backend, final_grade,
         case when isfinite(final_support) then final_support end as s from fish_inspections join inspection_sessions using (session_id)) group by backend""",
     "range_filter_custom": "select try_cast(ts[1:10] as date) as day, count(*) as n from fish_inspections where try_cast(ts[1:10] as date) between date '2031-03-01' and date '2031-06-30' group by day",
     "history_filters": f"""select distinct session_id, track_id, updated_at, final_support from fish_inspections where contains(track_id::varchar, '1') and lower(coalesce(nullif(final_grade, ''), 'Ungraded')) = 'class b'

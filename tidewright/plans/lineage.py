@@ -109,7 +109,7 @@ def _boxes(spark: SparkSession, d: str) -> DataFrame:
 def polygon_areas(spark: SparkSession, d: str) -> DataFrame:
     """Area per class of the polygons, by the shoelace formula."""
     rows = read(spark, d, "source_records").dropDuplicates(["record_id"]).select(F.explode("annotations").alias("a"))
-    return rows.groupBy(F.col("a.class_id").alias("class")).agg(F.count("*").alias("n"), F.round(F.avg(geometry.polygon_area(F.col("a.points"))), 3).alias("area"), F.count_if(geometry.is_rectangle(F.col("a.points"))).alias("rectangles"))
+    return rows.groupBy(F.col("a.class_id").alias("class")).agg(F.count("*").alias("n"), F.round(F.avg(geometry.polygon_area(F.col("a.points"))), 6).alias("area"), F.count_if(geometry.is_rectangle(F.col("a.points"))).alias("rectangles"))
 
 
 def overlapping_boxes(spark: SparkSession, d: str) -> DataFrame:
@@ -199,7 +199,7 @@ ORACLES = {
     "unmatched_ends": """select side, count(*) as rows, count(distinct r) as records from (select 'left' as side, left_record_id as r from token_members union all select 'right', right_record_id from token_members)
         where r is not null and r not in (select record_id from source_records where record_id is not null) group by side""",
     "polygon_areas": """with a as (select unnest(annotations) as a from (select distinct on (record_id) * from source_records)), p as (select a.class_id as class, a.points as p, list_distinct(list_filter(a.points, lambda v, k: k % 2 = 1)) as xs, list_distinct(list_filter(a.points, lambda v, k: k % 2 = 0)) as ys from a)
-        select class, count(*) as n, round(avg(abs(list_sum(list_transform(range(0, len(p) // 2), lambda i: p[2 * i + 1] * p[(2 * i + 3) % len(p) + 1] - p[(2 * i + 2) % len(p) + 1] * p[2 * i + 2]))) / 2), 3) as area,
+        select class, count(*) as n, round(avg(abs(list_sum(list_transform(range(0, len(p) // 2), lambda i: p[2 * i + 1] * p[(2 * i + 3) % len(p) + 1] - p[(2 * i + 2) % len(p) + 1] * p[2 * i + 2]))) / 2), 6) as area,
         count(*) filter (len(p) = 8 and len(xs) = 2 and len(ys) = 2) as rectangles from p group by class""",
     "overlapping_boxes": f"""with {_BOX}, o as (select a.record_id, a.id as a, b.id as b, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) as i, (a.x1 - a.x0) * (a.y1 - a.y0) as sa, (b.x1 - b.x0) * (b.y1 - b.y0) as sb
         from boxes a join boxes b on a.record_id = b.record_id and a.id < b.id) select record_id, a, b, round(i / (sa + sb - i), 6) as iou from o where round(i / (sa + sb - i), 6) >= 0.05""",

@@ -18,7 +18,7 @@ def five_way_join(spark: SparkSession, d: str) -> DataFrame:
     nations = read(spark, d, "nation").select("n_nationkey", F.col("n_regionkey").alias("r_regionkey"))
     regions = read(spark, d, "region").select("r_regionkey", "r_name")
     joined = lines.join(orders, "l_orderkey").join(customers, "c_custkey").join(nations, "n_nationkey").join(regions, "r_regionkey")
-    return joined.groupBy("r_name", "year").agg(F.count("*").alias("lines"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+    return joined.groupBy("r_name", "year").agg(F.count("*").alias("lines"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("revenue"))
 
 
 def anti_join_orphans(spark: SparkSession, d: str) -> DataFrame:
@@ -160,7 +160,7 @@ QUERIES = {
 }
 
 ORACLES = {
-    "five_way_join": """select r_name, year(o_orderdate)::int as year, count(*) as lines, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from lineitem join orders on l_orderkey = o_orderkey
+    "five_way_join": """select r_name, year(o_orderdate)::int as year, count(*) as lines, round(sum(l_extendedprice * (1 - l_discount)), 4) as revenue from lineitem join orders on l_orderkey = o_orderkey
         join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by all""",
     "anti_join_orphans": """select 'without_order' as kind, c_custkey from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null)
         union all select 'without_customer', o_custkey from orders where o_custkey not in (select c_custkey from customer)""",

@@ -13,7 +13,7 @@ EXTENSIONS = "*.{jpg,jpeg,png,bmp,gif}"
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, sha256, width, height, channels, valid) of every picture below a folder; unreadable ones are rows too."""
+    """(path, bytes, sha256, width, height, channels, valid) of every picture below a folder; unreadable ones are rows too (Spark skips files of no bytes)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", EXTENSIONS).load(path)
     read = spark.read.format("image").option("recursiveFileLookup", True).option("pathGlobFilter", EXTENSIONS).option("dropInvalid", False).load(path)
     size = read.select(F.regexp_replace("image.origin", "^file:/*", "/").alias("path"), "image.width", "image.height", F.col("image.nChannels").alias("channels"))
