@@ -53,3 +53,17 @@ def cut(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+SMALL_BYTES = 32 << 20
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal a small table to all cores before costly work on its rows.
+
+    A table of few bytes is read by few tasks, however costly its rows are. Only
+    tables estimated at less than SMALL_BYTES are dealt anew, so the exchange is
+    bounded; larger ones have enough splits of their own.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys) if size < SMALL_BYTES else df
