@@ -65,5 +65,5 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     tables estimated at less than SMALL_BYTES are dealt anew, so the exchange is
     bounded; larger ones have enough splits of their own.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys) if size < SMALL_BYTES else df
