@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.plans import dashboard, evaluation, lineage, nested, relational, sequences, streams
+from tidewright.plans import dashboard, detection, evaluation, lineage, nested, relational, sequences, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [dashboard, nested, relational, sequences, evaluation, lineage, streams]
+MODULES = [dashboard, nested, relational, sequences, evaluation, lineage, streams, detection]
 
 
 def queries() -> dict[str, Query]:
