@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.session import spread
+
 #: The split pattern of the byte_bpe_50k vocabulary (a fixed value).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 REMEMBERED = 500_000
@@ -139,7 +141,7 @@ def encode_column(df: DataFrame, key: str, text: str = "text", path: str | None
             yield pa.RecordBatch.from_arrays([batch.column(0), out], [key, "n_tokens" if lengths_only else "ids"])
 
     schema = f"`{key}` {key_type}, " + ("n_tokens int" if lengths_only else "ids array<int>")
-    return df.select(key, F.col(text).cast("string").alias("text")).mapInArrow(encode_batches, schema)
+    return spread(df.select(key, F.col(text).cast("string").alias("text")), key).mapInArrow(encode_batches, schema)
 
 
 def decode_column(df: DataFrame, key: str, ids: str = "ids", path: str | None = None) -> DataFrame:
