@@ -152,3 +152,107 @@ def test_confounding_and_crossing(spark):
     rows = spark.createDataFrame([("g1", "a", "train"), ("g1", "a", "test"), ("g2", "b", "test")], "g string, l string, s string")
     assert tuple(duplicates.confounded(rows, F.col("g"), F.col("l")).first()) == (2, 2, True)
     assert [(r.kind, r.value, r.n_parts) for r in duplicates.crossing_values(rows, {"g": F.col("g")}, F.col("s")).collect()] == [("g", "g1", 2)]
+
+
+def test_pixels(spark):
+    from tidewright.operators import pixels
+
+    assert pixels.hsv(np.array([[[1.0, 0, 0], [0, 1, 0], [0, 0, 1], [0.5, 0.5, 0.5]]]))[0].round(6).tolist() == [[0, 1, 1], [120, 1, 1], [240, 1, 1], [0, 0, 0.5]]
+    assert pixels.lab(np.array([[[1.0, 1, 1], [0, 0, 0]]]))[0].round(2).tolist() == [[100, 0.0, 0.0], [0, 0, 0]] or np.allclose(pixels.lab(np.ones((1, 1, 3))), [[[100, 0, 0]]], atol=0.02)
+    mask = np.zeros((6, 8), bool)
+    mask[1:3, 1:4] = mask[4, 6] = True
+    mask[3, 5] = True
+    parts = pixels.components(mask)
+    assert parts.max() == 2 and (parts == 0).sum() == 48 - 8
+    only = parts == 1
+    assert pixels.perimeter(only) == 10 and pixels.hull(only) == (6.0, 10.0) and pixels.widths(only).tolist() == [3, 3] and pixels.mirror_overlap(only) == 1.0
+    long, short, angle = pixels.axes(only)
+    assert long > short and min(angle, np.pi - angle) < 1e-6
+    flat = pixels.cooccurrence(np.full((5, 5), 100.0), np.ones((5, 5), bool))
+    assert pixels.texture(flat)["energy"] == 1 and pixels.texture(flat)["entropy"] == 0
+    assert pixels.binary_patterns(np.full((5, 5), 9.0), np.ones((5, 5), bool))[8] == 1
+    assert pixels.components(np.ones((3, 3), bool)).tolist() == [[1] * 3] * 3 and pixels.hull(np.zeros((2, 2), bool)) == (0.0, 0.0)
+    hues = spark.createDataFrame([(350.0, 1.0), (10.0, 1.0), (180.0, 0.0)], "h double, w double")
+    mean = hues.agg(pixels.hue_mean(F.col("h"), F.col("w"))).first()[0]
+    assert min(mean, 360 - mean) < 1e-6
+
+
+def test_decode_runs():
+    from tidewright.operators import pixels
+
+    def encode(mask):
+        flat, counts, last = mask.T.ravel(), [], False
+        for v in flat:
+            if not counts or v != last:
+                if not counts and v:
+                    counts.append(0)
+                counts.append(0)
+                last = v
+            counts[-1] += 1
+        out = ""
+        for i, c in enumerate(counts):
+            x = c - counts[i - 2] if i > 2 else c
+            while True:
+                bits, x = x & 31, x >> 5
+                done = (x == -1) if bits & 16 else (x == 0)
+                out += chr((bits if done else bits | 32) + 48)
+                if done:
+                    break
+        return out
+
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        mask = rng.random((9, 70)) < rng.random()
+        assert (pixels.decode_runs(encode(mask), 9, 70) == mask).all()
+    with pytest.raises(ValueError):
+        pixels.decode_runs("1", 9, 9)
+
+
+def test_proposal(spark):
+    from tidewright.operators import proposal
+
+    rows = spark.range(20_000).select(F.concat(F.lit("g"), (F.col("id") % 997).cast("string")).alias("g"), (F.col("id") % 3).alias("c"), F.lit(1).alias("rows"))
+    out = proposal.propose(rows, "g", {"train": 0.7, "validation": 0.15, "test": 0.15}, ranges=16)
+    share = {r.split: r.n / 20_000 for r in out.groupBy("split").agg(F.sum("rows").alias("n")).collect()}
+    assert abs(share["train"] - 0.7) < 0.01 and abs(share["test"] - 0.15) < 0.01 and out.select("g").distinct().count() == 997
+    assert proposal.propose(rows.limit(0), "g", {"train": 1.0}).count() == 0
+    bad = spark.createDataFrame([("a", "train", 0), ("a", "test", 1), ("b", None, 0)], "g string, split string, c int")
+    got = {tuple(r) for r in proposal.problems(bad, "split", ["g"], "c", [0, 1]).collect()}
+    assert got == {("crosses:g", "a", None), ("lacks", "1", "train"), ("lacks", "0", "test"), ("without_split", "1", None)}
+
+
+def test_learning(spark):
+    from tidewright.operators import learning
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(400, 2))
+    rows = spark.createDataFrame([(float(a), None if i % 17 == 0 else float(b), "up" if a + (b if i % 17 else 0) > 0 else "down") for i, (a, b) in enumerate(x)], "a double, b double, y string")
+    for model in ("logistic", "forest"):
+        out = learning.predictions(learning.fit(rows, ["a", "b"], "y", model), rows, "y")
+        assert out.where("truth = predicted").count() > 360
+
+
+def test_names(spark):
+    from tidewright.functions import names
+
+    paths = ["export/train/Cap_00513_jpg.rf.abefa13230.jpg", "a\\b\\x.PNG", None]
+    assert [one(spark, names.origin_name(F.lit(p).cast("string"))) for p in paths] == ["cap_00513", "x", None]
+    assert one(spark, names.cell_of(names.counts_of(F.lit("2:1|0:3|2:4|x:1|7")))) == "0:3|2:5" and one(spark, names.cell_of(names.counts_of(F.lit(None).cast("string")))) == ""
+    assert one(spark, names.canonical_map(F.create_map(F.lit("b"), F.lit("1"), F.lit("a"), F.lit("2")))) == '{"a":"2","b":"1"}'
+    boxes = one(spark, names.tiles(F.lit(1000), F.lit(500), 640, 64))
+    assert [tuple(b) for b in boxes] == [(0, 0, 640, 500), (360, 0, 1000, 500)]
+    a, b = (one(spark, names.group_label(F.array(*map(F.lit, ids)))) for ids in (("x", "y"), ("y", "x")))
+    assert a == b and a.startswith("lg_")
+
+
+def test_detections(spark):
+    from tidewright.operators import detections
+
+    box = "struct<x0:double,y0:double,x1:double,y1:double>"
+    schema = f"picture string, truth array<struct<class:int,box:{box}>>, found array<struct<class:int,box:{box},score:double>>"
+    b = (0.0, 0.0, 10.0, 10.0)
+    rows = [("p", [(0, b), (1, b), (2, b)], [(0, b, 0.9), (1, b, 0.9), (1, b, 0.8), (2, (50.0, 50.0, 60.0, 60.0), 0.9)]), ("q", [], [])]
+    got = {r["class"]: round(r.ap, 6) for r in detections.average_precision(spark.createDataFrame(rows, schema), (0.5,)).collect()}
+    assert got == {0: 1.0, 1: 1.0, 2: 0.0}
+    frames = spark.createDataFrame([(1, 1, "a"), (1, 2, None), (1, 3, "b"), (1, 4, "b")], "fish int, frame int, track string")
+    assert tuple(detections.track_quality(frames, ["fish"], "frame", "track").first())[1:] == (4, 2, 1, 1)
