@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions.numbers import f1_or_zero, finite, ratio
 from tidewright.functions.text import grade_name, instant, squeezed, value_or_null
-from tidewright.operators import metrics, store
+from tidewright.operators import learning, metrics, store
 from tidewright.plans.dashboard import read
 from tidewright.plans.sequences import _G, vote_of_frames
 
@@ -124,10 +124,20 @@ def weighted_support(spark: SparkSession, d: str) -> DataFrame:
     return sums.where(total > 0).select("session_id", "fish_id", first["grade"].alias("best"), second["grade"].alias("second"), F.round(ratio(second["minus"] - first["minus"], total), 6).alias("margin"))
 
 
+def feature_model(spark: SparkSession, d: str) -> DataFrame:
+    """Confusion of a classifier of embeddings' labels on the fifth of the rows that a hash holds out."""
+    columns = [f"x{i}" for i in range(16)]
+    rows = read(spark, d, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"), *(F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(columns)))
+    held = F.pmod(F.xxhash64("vec_id"), F.lit(5)) == 0
+    model = learning.fit(rows.where(~held), columns, "label")
+    out = learning.predictions(model, rows.where(held), "label")
+    return metrics.confusion(out, F.col("truth"), F.col("predicted"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        confusion_matrix, precision_recall_f1, threshold_sweep, best_threshold, cohens_kappa, weighted_kappa, counting_error, average_precision, average_precision_area, bootstrap_interval, review_conflicts, weighted_support,
+        feature_model, confusion_matrix, precision_recall_f1, threshold_sweep, best_threshold, cohens_kappa, weighted_kappa, counting_error, average_precision, average_precision_area, bootstrap_interval, review_conflicts, weighted_support,
     )
 }
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import geometry
 from tidewright.functions.text import group_name, hash64, sha256_name, split_name, value_or_null
-from tidewright.operators import duplicates, graph, matching, store
+from tidewright.operators import duplicates, graph, matching, proposal, store
 from tidewright.plans.dashboard import read
 
 
@@ -156,10 +156,22 @@ def matched_boxes(spark: SparkSession, d: str) -> DataFrame:
     return matching.in_pictures(_boxes(spark, d), kernel, "record_id bigint, greedy int, optimal int, overlap double")
 
 
+def proposed_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Source groups filled into splits in the order of a hash: groups and records per split."""
+    out = proposal.propose(_records(spark, d), "grp", {"train": 0.7, "validation": 0.15, "test": 0.15})
+    return out.groupBy("split").agg(F.count("*").alias("groups"), F.sum("rows").alias("records"))
+
+
+def split_problems(spark: SparkSession, d: str) -> DataFrame:
+    """What is wrong with the delivered splits: values that cross them and records without one."""
+    rows = _records(spark, d).withColumn("label", F.lit("any"))
+    return proposal.problems(rows, "split", ["grp", "specimen", "sha"], "label", ["any"]).groupBy("kind").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        exact_duplicate_groups, near_hash_pairs, hash_classes, lineage_links, lineage_components, crossing_values, split_overlap, lineage_gate, confounding_check, split_class_counts, unmatched_ends,
+        proposed_splits, split_problems, exact_duplicate_groups, near_hash_pairs, hash_classes, lineage_links, lineage_components, crossing_values, split_overlap, lineage_gate, confounding_check, split_class_counts, unmatched_ends,
         polygon_areas, overlapping_boxes, part_owners, suppressed_boxes, matched_boxes,
     )
 }
@@ -180,6 +192,9 @@ _LINKS = f"""{_RECORDS}, tokens as (select record_id, 0 as kind, sha as v from r
   first as (select kind, v, min(record_id) as f from tokens group by all), links as (select distinct record_id as a, f as b from tokens join first using (kind, v) where record_id <> f)"""
 
 ORACLES = {
+    "split_problems": f"""with {_RECORDS}, x as (select 'grp' as k, grp as v, split from records union all select 'specimen', specimen, split from records union all select 'sha', sha, split from records),
+        c as (select k, v from x where v is not null and split is not null group by all having count(distinct split) > 1)
+        select 'crosses:' || k as kind, count(*) as n from c group by k union all select 'without_split', 1 from records where split is null having count(*) > 0""",
     "exact_duplicate_groups": "select sha256(text) as key, min(doc_id) as canonical, count(*) as size, min(source) <> max(source) as mixed_labels from documents where text is not null group by text having count(*) > 1",
     "near_hash_pairs": f"""with {_RECORDS}, s as (select {_SIGNED("code")} as code, any_value(code) as u, count(*) as n from records group by 1)
         select x.code as a, y.code as b, bit_count(xor(x.u, y.u))::int as distance, x.n as a_records, y.n as b_records from s x, s y where x.code < y.code and bit_count(xor(x.u, y.u)) <= 5""",

@@ -28,9 +28,16 @@ def stream_upserts(spark: SparkSession, d: str) -> DataFrame:
     return tracking.store.read_current(spark, path).select("user_id", "event_type", "event_id", "value")
 
 
-QUERIES = {f.__name__: f for f in (stream_crossings, stream_upserts)}
+def stream_hours(spark: SparkSession, d: str) -> DataFrame:
+    """Events per type and hour window by a streaming aggregation; equal to the batch form."""
+    out = tracking.run_complete(tracking.hourly(tracking.source(spark, f"{d}/events.parquet")), "hours")
+    return out.select(F.unix_seconds("w.start").alias("start_s"), "event_type", "n", F.round("value", 4).alias("value"))
+
+
+QUERIES = {f.__name__: f for f in (stream_crossings, stream_upserts, stream_hours)}
 
 ORACLES = {
+    "stream_hours": "select epoch(time_bucket(interval 1 hour, ts))::bigint as start_s, event_type, count(*) as n, round(sum(value), 4) as value from events group by all",
     "stream_crossings": f"""with e as (select *, epoch_us(ts) as at_us, lag(value) over w as before, epoch_us(lag(ts) over w) as before_us from events window w as (partition by user_id order by ts, event_id)),
         s as (select *, sum(case when before_us is null or at_us - before_us > {TIMEOUT_US} then 1 else 0 end) over (partition by user_id order by ts, event_id rows unbounded preceding) as visit from e)
         select user_id, event_id, at_us, value from s where before < {LINE} and value >= {LINE} and at_us - before_us <= {TIMEOUT_US} qualify row_number() over (partition by user_id, visit order by ts, event_id) = 1""",

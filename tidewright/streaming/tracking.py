@@ -75,6 +75,18 @@ def run_to_files(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def run_complete(stream: DataFrame, name: str) -> DataFrame:
+    """Run an aggregating stream over what its source has now; the last complete result."""
+    spark = stream.sparkSession
+    base = f"{ensure_checkpoint_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out")
+
+    stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
 def run_upserts(stream: DataFrame, path: str, keys: list[str], order: str) -> None:
     """Keep the latest row per key of a stream in the store at ``path``, batch by batch."""
     base = f"{ensure_checkpoint_dir(stream.sparkSession)}/stream-upsert-{uuid.uuid4().hex}"
