@@ -77,6 +77,8 @@ def test_sessions_and_crossings(spark):
     assert [r.session for r in windows.with_sessions(rows, ["u"], "t", F.lit(10.0), "i").orderBy("i").collect()] == [1, 1, 1, 2, 2]
     assert windows.first_crossings(rows, ["u"], "t", "i", "v", 5.0).first().i == 1
     assert one(spark, windows.gated(F.array(*(F.lit(v).cast("bigint") for v in (1, 5, 29, 31, 60, 62))), 30)) == [1, 31, 62]
+    frames = spark.createDataFrame([("s", 1, n) for n in (62, 1, 5, 29, 31, 60, 60)] + [("s", 2, None), ("t", None, 9)], "s string, f bigint, n bigint")
+    assert {tuple(r) for r in windows.gate(frames, ["s", "f"], "n", 30, "s string, f bigint").collect()} == {("s", 1, 6, 3), ("t", None, 1, 1)}
     assert one(spark, windows.smoothed(F.array(F.lit(1.0), F.lit(2.0)), 0.85)) == pytest.approx(1.15)
     assert one(spark, windows.decayed_maximum(F.array(F.lit(1.0), F.lit(0.0)), 0.1)) == pytest.approx(0.9)
 

@@ -6,6 +6,9 @@ there is running_number, whose tasks are bounded by a bucket of the order.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,3 +67,32 @@ def gated(frames: Column, step: int) -> Column:
     """Of ordered numbers those that are at least ``step`` after the last one kept."""
     empty = F.array().cast("array<bigint>")
     return F.aggregate(frames, empty, lambda kept, f: F.when((F.size(kept) == 0) | (f - F.element_at(kept, -1) >= step), F.concat(kept, F.array(f))).otherwise(kept))
+
+
+def gate(df: DataFrame, keys: list[str], number: str, step: int, key_schema: str) -> DataFrame:
+    """Per key its distinct numbers and how many of them are kept when each must be ``step`` after the last one kept.
+
+    The rows of a key pass through one task in order, batch by batch; only the
+    last kept number is remembered. Rows without a number are left out.
+    """
+    rows = df.where(F.col(number).isNotNull()).select(*keys, F.col(number).cast("bigint").alias("__n")).distinct()
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "__n")
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, last, seen, kept = None, 0, 0, 0
+        for batch in batches:
+            done = []
+            for *k, n in batch.itertuples(index=False, name=None):
+                k = [None if pd.isna(v) else v for v in k]
+                if k != key:
+                    if key is not None:
+                        done.append((*key, seen, kept))
+                    key, last, seen, kept = k, None, 0, 0
+                seen += 1
+                if last is None or n - last >= step:
+                    last, kept = n, kept + 1
+            yield pd.DataFrame(done, columns=[*keys, "seen", "kept"])
+        if key is not None:
+            yield pd.DataFrame([(*key, seen, kept)], columns=[*keys, "seen", "kept"])
+
+    return ordered.mapInPandas(scan, f"{key_schema}, seen bigint, kept bigint")

@@ -56,17 +56,22 @@ def calls_in_trailing_hour(spark: SparkSession, d: str) -> DataFrame:
 
 
 def smoothed_values(spark: SparkSession, d: str) -> DataFrame:
-    """Exponential smoothing and decayed maximum along each user's events."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"])
-    rows = read(spark, d, "events").groupBy("user_id").agg(ordered.alias("v"))
-    return rows.select("user_id", F.round(windows.smoothed(F.col("v"), 0.85), 6).alias("smoothed"), F.round(windows.decayed_maximum(F.col("v"), 0.02), 6).alias("decayed"))
+    """Exponential smoothing and decayed maximum along each user's events.
+
+    Both folds have closed forms in the number of later events, so that they are
+    sums and maxima and no user's events are gathered.
+    """
+    rows = read(spark, d, "events").select("user_id", "value", F.expr("row_number() over (partition by user_id order by ts desc, event_id desc) - 1 as later"))
+    last = rows.groupBy("user_id").agg(F.max("later").alias("first_later"))
+    keep = F.lit(0.85)
+    weight = F.pow(keep, F.col("later")) * F.when(F.col("later") == F.col("first_later"), 1.0).otherwise(1 - keep)
+    out = rows.join(last, "user_id").groupBy("user_id").agg(F.sum(weight * F.col("value")).alias("smoothed"), F.max(F.pow(F.lit(0.98), F.col("later")) * F.col("value")).alias("decayed"))
+    return out.select("user_id", F.round("smoothed", 6).alias("smoothed"), F.round(F.greatest("decayed", F.lit(0.0)), 6).alias("decayed"))
 
 
 def sampled_frames(spark: SparkSession, d: str) -> DataFrame:
     """Frames of each fish that are graded if one is at least 30 frames after the last graded one."""
-    rows = read(spark, d, "frame_grades").groupBy("session_id", "fish_id").agg(F.array_sort(F.collect_set("frame")).alias("frames"))
-    kept = windows.gated(F.col("frames"), 30)
-    return rows.select("session_id", "fish_id", F.size("frames").alias("frames"), F.size(kept).alias("kept"))
+    return windows.gate(read(spark, d, "frame_grades"), ["session_id", "fish_id"], "frame", 30, "session_id string, fish_id bigint")
 
 
 def grade_switches(spark: SparkSession, d: str) -> DataFrame:
