@@ -18,9 +18,10 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _latest(spark: SparkSession, d: str) -> DataFrame:
-    """The last version of each inspection."""
-    return store.latest(read(spark, d, "fish_inspections"), ["session_id", "track_id"], instant(F.col("updated_at")), F.xxhash64("event_json"))
+def latest_inspections(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The last version of each inspection, with only the columns asked for read from the file."""
+    rows = read(spark, d, "fish_inspections").select("session_id", "track_id", "updated_at", *columns)
+    return store.latest(rows, ["session_id", "track_id"], instant(F.col("updated_at")), F.xxhash64(*columns))
 
 
 def bucket_distribution(spark: SparkSession, d: str) -> DataFrame:
@@ -92,7 +93,7 @@ def newest_per_session(spark: SparkSession, d: str) -> DataFrame:
 
 
 def latest_versions(spark: SparkSession, d: str) -> DataFrame:
-    return _latest(spark, d).select("session_id", "track_id", "updated_at", "final_grade")
+    return latest_inspections(spark, d, "final_grade").select("session_id", "track_id", "updated_at", "final_grade")
 
 
 def partial_update_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -123,14 +124,14 @@ def fish_comparison(spark: SparkSession, d: str) -> DataFrame:
 
 def throughput(spark: SparkSession, d: str) -> DataFrame:
     """Running number of latest inspections over time; ordered without gathering them in one task."""
-    rows = _latest(spark, d).select("session_id", "track_id", instant(F.col("ts")).alias("at"))
+    rows = latest_inspections(spark, d, "ts").select("session_id", "track_id", instant(F.col("ts")).alias("at"))
     return windows.running_number(rows, F.date_trunc("day", "at"), [F.asc("at"), F.asc("session_id"), F.asc("track_id")], "running")
 
 
 def export_rows(spark: SparkSession, d: str) -> DataFrame:
     """The export's columns: percentages rounded half to even, texts with defaults, lists joined."""
     regions = F.from_json("observed_regions_json", "array<string>")
-    return _latest(spark, d).select(
+    return latest_inspections(spark, d, "final_grade", "observed_regions_json", "final_support", "second_grade").select(
         "session_id", "track_id",
         F.coalesce(F.nullif("final_grade", F.lit("")), F.lit("Ungraded")).alias("grade"),
         F.concat_ws(", ", F.array_sort(F.array_distinct(F.coalesce(regions, F.array().cast("array<string>"))))).alias("regions"),

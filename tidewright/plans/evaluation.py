@@ -6,17 +6,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.numbers import f1_or_zero, finite, ratio
-from tidewright.functions.text import grade_name, instant, squeezed, value_or_null
-from tidewright.operators import learning, metrics, store
-from tidewright.plans.dashboard import read
+from tidewright.functions.text import grade_name, squeezed, value_or_null
+from tidewright.operators import learning, metrics
+from tidewright.plans.dashboard import latest_inspections, read
 from tidewright.plans.sequences import _G, vote_of_frames
 
 
 
 def _truth(spark: SparkSession, d: str) -> DataFrame:
     """(session_id, track_id, truth, predicted, confidence) of fish with an inspection and graded frames."""
-    rows = read(spark, d, "fish_inspections").select("session_id", "track_id", "updated_at", "final_grade", "model1_confidence", "event_json")
-    last = store.latest(rows, ["session_id", "track_id"], instant(F.col("updated_at")), F.xxhash64("event_json"))
+    last = latest_inspections(spark, d, "final_grade", "model1_confidence")
     votes = vote_of_frames(spark, d).select("session_id", F.col("fish_id").alias("track_id"), "grade")
     return last.join(votes, ["session_id", "track_id"]).select("session_id", "track_id", F.nullif("final_grade", F.lit("Ungraded")).alias("truth"), F.col("grade").alias("predicted"), finite(F.col("model1_confidence")).alias("confidence"))
 
