@@ -53,3 +53,22 @@ def test_null_keys_empty_table_and_links(spark, tmp_path):
 def test_long_and_repeated(spark):
     many = json.dumps({"Body": {"detections": [{"i": i} for i in range(5000)]}, "body": {}})
     assert flatten.found(table(spark, ("s", 1, "2031", many), ("s", 1, "2031", many))).groupBy("child").count().orderBy("child").select(F.col("count")).collect() == [(5000,), (1,)]
+
+
+def test_no_member_is_lost(spark):
+    statistics = {"region_observation_count": 3, "top_grade_statistics": {"standard_deviation": 0.25, "more": [1]}}
+    part = {"present": True, "grade_evidence": {"Class A": 0.5, "Class B": None}, "detections": [{"confidence": 0.5, "more": {"x": 1}}, 7], "temporal_statistics": statistics, "list": [[2]]}
+    color = {"status": "ok", "frame_rois": [{"frame_id": 4, "deep": [8]}], "nested": {"y": 9}}
+    rows = table(spark, ("s", 1, "2031", json.dumps({"schema_version": 2, "regions": {"Body": part, "Fin": {"z": 1}, "Tail": "none"}}), json.dumps({"scores": {"Class A": 0.1, "Class C": "n/a"}, "v": 2}), json.dumps([{"region": "Head", **color}, 5])))
+    children = flatten.children(rows)
+    got = {r.node_id[4:]: json.loads(r.payload) for r in children.collect()}
+    assert got == {
+        "part/Body": {"present": True, "grade_evidence": {"Class B": None}, "detections": {"1": 7}, "temporal_statistics": statistics, "list": [[2]]},
+        "part/Body/evidence/Class A": {"value": 0.5}, "part/Body/detection/0": part["detections"][0], "rest/part_results_json": {"members": {"schema_version": 2, "regions": {"Fin": {"z": 1}, "Tail": "none"}}},
+        "score/Class A": {"value": 0.1}, "rest/weighted_scores_json": {"members": {"v": 2, "scores": {"Class C": "n/a"}}},
+        "color/Head": {"region": "Head", "status": "ok", "nested": {"y": 9}}, "color/Head/roi/0": color["frame_rois"][0], "rest/color_measurements_json": {"members": {"1": 5}},
+    }
+    typed = flatten.table(children, "part").first()
+    assert typed.temporal_statistics.region_observation_count == 3 and typed.temporal_statistics.top_grade_statistics.standard_deviation == 0.25
+    assert json.loads(flatten.table(children, "rest").where("item = 'color_measurements_json'").first().members) == {"1": 5}
+    assert "rest" not in {r.child for r in flatten.found(rows).collect()}

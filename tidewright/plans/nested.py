@@ -18,7 +18,36 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_detections(spark: SparkSession, d: str) -> DataFrame:
     """The detections' table; boxes and masks as JSON."""
-    return flatten.table(_children(spark, d), "detection").withColumns({"bbox": F.to_json("bbox"), "mask": F.to_json("mask")})
+    return flatten.table(_children(spark, d), "detection").drop("payload").withColumns({"bbox": F.to_json("bbox"), "mask": F.to_json("mask")})
+
+
+def p5_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The parts' table with their statistics over time."""
+    s = F.col("temporal_statistics")
+    rows = flatten.table(_children(spark, d), "part")
+    return rows.select("*", s["region_observation_count"].alias("region_observation_count"), s["top_grade_statistics"]["standard_deviation"].alias("top_grade_standard_deviation")).drop("temporal_statistics")
+
+
+def p5_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return flatten.table(_children(spark, d), "evidence")
+
+
+def p5_scores(spark: SparkSession, d: str) -> DataFrame:
+    return flatten.table(_children(spark, d), "score")
+
+
+def p5_colors(spark: SparkSession, d: str) -> DataFrame:
+    return flatten.table(_children(spark, d), "color")
+
+
+def p5_rois(spark: SparkSession, d: str) -> DataFrame:
+    """The ROIs' table; boxes as JSON."""
+    return flatten.table(_children(spark, d), "roi").withColumn("crop_local_bbox", F.to_json("crop_local_bbox"))
+
+
+def p5_rest(spark: SparkSession, d: str) -> DataFrame:
+    """Members of the documents that belong to no child, as JSON."""
+    return flatten.table(_children(spark, d), "rest")
 
 
 def p5_links(spark: SparkSession, d: str) -> DataFrame:
@@ -30,7 +59,7 @@ def p5_links(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("tag").agg(F.count("*").alias("children"), F.countDistinct("node_id").alias("keys")).join(orphans, "tag", "left").na.fill(0, ["orphans"])
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_detections, p5_links)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_detections, p5_parts, p5_evidence, p5_scores, p5_colors, p5_rois, p5_rest, p5_links)}
 
 _REGION = "case trim(regexp_replace(lower({0}), '[\\s_\\-]+', ' ', 'g')) when 'body' then 'Body' when 'head' then 'Head' when 'tail' then 'Tail' when 'whole fish' then 'Whole Fish' end"
 _GRADE = "case trim(regexp_replace(lower({0}), '[\\s_\\-]+', ' ', 'g')) when 'class a' then 'Class A' when 'class b' then 'Class B' when 'class c' then 'Class C' when 'rejected' then 'Rejected' end"
