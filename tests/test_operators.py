@@ -210,6 +210,30 @@ def test_decode_runs():
         pixels.decode_runs("1", 9, 9)
 
 
+def test_kappa_of_all_reviewers(spark, tmp_path):
+    """Three reviewers' last reviews with y and n, against all their pairs in both orders."""
+    from datetime import datetime
+
+    from tidewright.plans import evaluation
+
+    said = {"f1": [("yes", "minor"), ("Y", "severe"), ("no", "none"), (" n ", "minor")], "f2": [("y", "severe"), ("yes", "severe"), ("yes", "moderate")], "f3": [("no", "none")], "f4": [("no", "none"), ("uncertain", None), ("no", "none")]}
+    rows = [(f"o{f}{i}", f, "x", f"r{i}", " Reviewed", p, s, datetime(2031, 1, 2)) for f, ps in said.items() for i, (p, s) in enumerate(ps)]
+    rows += [("z1", "f1", "x", "r0", "reviewed", "no", "none", datetime(2031, 1, 1)), ("z2", "f1", "x", "r9", "pending", "no", "none", datetime(2031, 1, 9)), ("z3", "f2", "x", "r8", "adjudicated", "no", "none", datetime(2031, 1, 9))]
+    schema = "observation_id string, fish_instance_id string, finding_id string, reviewer_id string, review_status string, presence string, severity string, recorded_at timestamp"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "belly_observations.parquet"))
+
+    def want(values, weight):
+        pairs = [p for vs in values for p in itertools.permutations([v for v in vs if v is not None], 2)]
+        o = np.mean([weight(a, b) for a, b in pairs])
+        e = np.mean([weight(a, c) for a, _ in pairs for _, c in pairs])
+        return len(pairs) // 2, round(1 - o, 6), round(1 - e, 6), round(1 - o / e, 6)
+
+    presence = [[{"y": 1, "n": 0}.get(p.strip().lower()[0]) for p, _ in ps] for ps in said.values()]
+    assert tuple(evaluation.all_pairs_kappa(spark, str(tmp_path)).first()) == pytest.approx(want(presence, lambda a, b: float(a != b)))
+    ranks = [[{"none": 0, "minor": 1, "moderate": 2, "severe": 3}.get(s) for _, s in ps] for ps in said.values()]
+    assert tuple(evaluation.all_pairs_weighted_kappa(spark, str(tmp_path)).first()) == pytest.approx(want(ranks, lambda a, b: (a - b) ** 2 / 9))
+
+
 def test_proposal(spark):
     from tidewright.operators import proposal
 

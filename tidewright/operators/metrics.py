@@ -40,6 +40,18 @@ def kappa(matrix: DataFrame, weight: Callable[[Column, Column], Column] | None =
     return one.select(F.col("total").cast("bigint").alias("n"), (1 - o).alias("observed"), (1 - e).alias("expected"), (1 - F.try_divide(o, e)).alias("kappa"))
 
 
+def pair_table(df: DataFrame, unit: list[str], label: str, domain: list) -> DataFrame:
+    """(truth, predicted, n) of all ordered pairs of two labels of one unit, so every pair counts twice and the table is symmetric.
+
+    Pairs are not emitted: a unit's counts per label of the closed domain give
+    their numbers. Labels outside the domain pair with nothing.
+    """
+    per = df.groupBy(*unit).agg(*(F.count_if(F.col(label) == v).alias(f"n{i}") for i, v in enumerate(domain)))
+    cell = lambda i, j: F.sum(F.col(f"n{i}") * (F.col(f"n{j}") - int(i == j)))
+    cells = [F.struct(F.lit(a).alias("truth"), F.lit(b).alias("predicted"), cell(i, j).alias("n")) for i, a in enumerate(domain) for j, b in enumerate(domain)]
+    return per.agg(F.array(*cells).alias("m")).select(F.explode("m").alias("c")).select("c.*").where("n > 0")
+
+
 def ranked(df: DataFrame, keys: list[str], score: str, tie: str, hit: Column) -> DataFrame:
     """Adds tp, precision and recall along the ranking by score within each key."""
     w = Window.partitionBy(*keys).orderBy(F.desc(score), tie)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.numbers import f1_or_zero, finite, ratio
@@ -52,7 +54,7 @@ def best_threshold(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _two_reviews(spark: SparkSession, d: str, column: str) -> DataFrame:
-    """The labels of the first two reviewers of each finding."""
+    """The labels of the first two reviewers of each finding, as in the SQL; _all_reviews has the others, too."""
     rows = read(spark, d, "belly_observations").where(squeezed(F.col("review_status")) == "reviewed").select("fish_instance_id", "finding_id", "reviewer_id", squeezed(F.col(column)).alias("s"))
     one = rows.where("s is not null").groupBy("fish_instance_id", "finding_id", "reviewer_id").agg(F.max("s").alias("s"))
     pair = F.slice(F.array_sort(F.collect_list(F.struct("reviewer_id", "s"))), 1, 2)  # at most one row per reviewer
@@ -73,6 +75,32 @@ def weighted_kappa(spark: SparkSession, d: str) -> DataFrame:
     return out.select("n", *(F.round(c, 6).alias(c) for c in ("observed", "expected", "kappa")))
 
 
+def _all_reviews(spark: SparkSession, d: str, label: Column) -> DataFrame:
+    """(fish_instance_id, finding_id, label): the last review of every reviewer of a finding, where it has a label."""
+    rows = read(spark, d, "belly_observations").where((squeezed(F.col("review_status")) == "reviewed") & F.col("fish_instance_id").isNotNull() & F.col("finding_id").isNotNull())
+    word = F.struct("recorded_at", "observation_id", label.alias("label"))
+    last = rows.select("fish_instance_id", "finding_id", F.coalesce("reviewer_id", F.lit("")).alias("reviewer_id"), word.alias("word")).groupBy("fish_instance_id", "finding_id", "reviewer_id").agg(F.max("word").alias("word"))
+    return last.select("fish_instance_id", "finding_id", "word.label").where("label is not null")
+
+
+def _pairs_kappa(labels: DataFrame, domain: list, weight: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    out = metrics.kappa(metrics.pair_table(labels, ["fish_instance_id", "finding_id"], "label", domain), weight)
+    return out.select((F.col("n") / 2).cast("bigint").alias("n"), *(F.round(c, 6).alias(c) for c in ("observed", "expected", "kappa")))
+
+
+def all_pairs_kappa(spark: SparkSession, d: str) -> DataFrame:
+    """Kappa of presence over all pairs of a finding's reviewers; they are interchangeable, so both have the same marginals."""
+    says = value_or_null(F.col("presence"))
+    return _pairs_kappa(_all_reviews(spark, d, F.when(says.isin("yes", "y", "true"), "yes").when(says.isin("no", "n", "false"), "no")), ["no", "yes"])
+
+
+def all_pairs_weighted_kappa(spark: SparkSession, d: str) -> DataFrame:
+    """Quadratic weights over the rank of severities, over all pairs of a finding's reviewers."""
+    how = squeezed(F.col("severity"))
+    rank = F.coalesce(*(F.when(how == name, i) for i, name in enumerate(("none", "minor", "moderate", "severe"))))
+    return _pairs_kappa(_all_reviews(spark, d, rank), [0, 1, 2, 3], lambda a, b: (a - b) * (a - b) / F.lit(9.0))
+
+
 def counting_error(spark: SparkSession, d: str) -> DataFrame:
     """Fish counted in frames against fish inspected, per session and tracker."""
     frames = read(spark, d, "frame_grades").groupBy("session_id").agg(F.countDistinct("fish_id").alias("predicted"))
@@ -136,7 +164,7 @@ def feature_model(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        feature_model, confusion_matrix, precision_recall_f1, threshold_sweep, best_threshold, cohens_kappa, weighted_kappa, counting_error, average_precision, average_precision_area, bootstrap_interval, review_conflicts, weighted_support,
+        feature_model, confusion_matrix, precision_recall_f1, threshold_sweep, best_threshold, cohens_kappa, weighted_kappa, all_pairs_kappa, all_pairs_weighted_kappa, counting_error, average_precision, average_precision_area, bootstrap_interval, review_conflicts, weighted_support,
     )
 }
 
