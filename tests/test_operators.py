@@ -247,6 +247,28 @@ def test_proposal(spark):
     assert got == {("crosses:g", "a", None), ("lacks", "1", "train"), ("lacks", "0", "test"), ("without_split", "1", None)}
 
 
+def test_proposal_places_every_record_and_tears_nothing(spark, tmp_path):
+    from tidewright.operators import proposal
+    from tidewright.plans import lineage
+
+    rows = [(i, f"g{i // 3}" if i % 5 else (None if i % 2 else "N/A"), f"s{i // 4}" if i % 7 else None, f"{i // 2:064x}" if i % 11 else "?") for i in range(300, 900)]
+    rows += [(i, None, None, None) for i in range(900, 940)] + rows[:5]
+    schema = "record_id bigint, source_group string, specimen_id string, sha256 string"
+    table = spark.createDataFrame(rows, schema).selectExpr("*", "'train' as source_split", "'0000000000000000' as average_hash")
+    table.write.parquet(str(tmp_path / "source_records.parquet"))
+    split = {r.record_id: r.split for r in lineage.proposed_records(spark, str(tmp_path)).collect()}
+    assert set(split) == set(range(300, 940)) and set(split.values()) == {"train", "validation", "test"}
+    for column in (1, 2, 3):
+        of = {}
+        for r in rows:
+            if r[column] not in (None, "N/A", "?"):
+                of.setdefault(r[column], set()).add(split[r[0]])
+        assert all(len(s) == 1 for s in of.values())
+    assert sum(r.records for r in lineage.proposed_splits(spark, str(tmp_path)).collect()) == 640
+    with pytest.raises(Exception, match="can't be placed"):
+        proposal.propose(spark.createDataFrame([("a",), (None,)], "g string"), "g", {"train": 1.0}).collect()
+
+
 def test_learning(spark):
     from tidewright.operators import learning
 

@@ -11,9 +11,11 @@ def propose(rows: DataFrame, group: str, ratios: dict[str, float], seed: int = 1
 
     A group goes to the split that holds the middle of its stretch of the
     running number of rows, so a split misses its share by half a group at most.
-    Running numbers come from ranges of the hash; null groups are left out.
+    Running numbers come from ranges of the hash. ``group`` must place every
+    row, so that none is left out in silence: a null group is an error.
     """
-    sizes = rows.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("rows"))
+    placed_in = F.coalesce(F.col(group), F.raise_error(F.lit(f"a row without {group} can't be placed")))
+    sizes = rows.select(placed_in.alias(group)).groupBy(group).agg(F.count("*").alias("rows"))
     hashed = sizes.withColumn("h", F.xxhash64(group, F.lit(seed))).withColumn("range", F.floor((F.col("h") / 2.0**63 + 1) / 2 * ranges).cast("int"))
     earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # at most ``ranges`` + 1 rows
     starts = hashed.groupBy("range").agg(F.sum("rows").alias("n")).select("range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"), F.sum("n").over(Window.partitionBy()).alias("total"))

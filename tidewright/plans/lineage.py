@@ -10,6 +10,7 @@ from tidewright.functions import geometry
 from tidewright.functions.text import group_name, hash64, sha256_name, split_name, value_or_null
 from tidewright.operators import duplicates, graph, matching, proposal, store
 from tidewright.plans.dashboard import read
+from tidewright.session import cut
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -156,12 +157,28 @@ def matched_boxes(spark: SparkSession, d: str) -> DataFrame:
     return matching.in_pictures(_boxes(spark, d), kernel, "record_id bigint, greedy int, optimal int, overlap double")
 
 
+def _units(spark: SparkSession, d: str) -> DataFrame:
+    """(record_id, unit): records that share a source group, specimen or digest, also through others, are one unit; a record without any of them is one of its own."""
+    rows = cut(_records(spark, d))
+    member = graph.components(graph.token_links(rows, "record_id", ["grp", "specimen", "sha"]), "a", "b").withColumnsRenamed({"vertex": "record_id", "component": "unit"})
+    return rows.select("record_id").join(member, "record_id", "left").withColumn("unit", F.coalesce("unit", "record_id"))
+
+
+_RATIOS = {"train": 0.7, "validation": 0.15, "test": 0.15}
+
+
 def proposed_splits(spark: SparkSession, d: str) -> DataFrame:
-    """Source groups filled into splits in the order of a hash: groups and records per split."""
-    out = proposal.propose(_records(spark, d), "grp", {"train": 0.7, "validation": 0.15, "test": 0.15})
+    """Units of related records filled into splits in the order of a hash: units (groups) and records per split; the records add up to the table."""
+    out = proposal.propose(_units(spark, d), "unit", _RATIOS)
     return out.groupBy("split").agg(F.count("*").alias("groups"), F.sum("rows").alias("records"))
 
 
+def proposed_records(spark: SparkSession, d: str) -> DataFrame:
+    """Every record with its unit and the split proposed for it."""
+    units = cut(_units(spark, d))
+    return units.join(proposal.propose(units, "unit", _RATIOS).select("unit", "split"), "unit").select("record_id", "unit", "split")
+
+
 def split_problems(spark: SparkSession, d: str) -> DataFrame:
     """What is wrong with the delivered splits: values that cross them and records without one."""
     rows = _records(spark, d).withColumn("label", F.lit("any"))
@@ -171,7 +188,7 @@ def split_problems(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        proposed_splits, split_problems, exact_duplicate_groups, near_hash_pairs, hash_classes, lineage_links, lineage_components, crossing_values, split_overlap, lineage_gate, confounding_check, split_class_counts, unmatched_ends,
+        proposed_splits, proposed_records, split_problems, exact_duplicate_groups, near_hash_pairs, hash_classes, lineage_links, lineage_components, crossing_values, split_overlap, lineage_gate, confounding_check, split_class_counts, unmatched_ends,
         polygon_areas, overlapping_boxes, part_owners, suppressed_boxes, matched_boxes,
     )
 }
