@@ -58,3 +58,13 @@ def test_better_than_the_majority(spark):
     weight = {r.reviewer_id: r.weight for r in reviewers.collect()}
     assert min(weight[f"r{i}"] for i in range(3)) > max(weight[f"r{i}"] for i in range(3, 9))
     assert findings.where("agreement < 0 or agreement > 1").count() == 0
+
+
+def test_errors_are_to_adjudicated_labels(spark):
+    """The crowd is wrong on every finding; only the one who disagreed with it is right. The adjudicator's own row has no labels."""
+    rows = [(f"f{i}", r, "reviewed", *(("yes", "severe") if r == "right" else ("no", "none")), 1) for i in range(8) for r in ("right", "w1", "w2")]
+    rows += [(f"f{i}", "judge", "adjudicated", "yes", "severe", 2) for i in range(8)]
+    _, reviewers = consensus.discover(table(spark, rows))
+    got = {r.reviewer_id: r for r in reviewers.collect()}
+    assert {k: (r.n_labels, r.mean_error) for k, r in got.items()} == {"right": (8, 0.0), "w1": (8, 1.0), "w2": (8, 1.0), "judge": (0, None)}
+    assert got["right"].weight > got["w1"].weight > got["judge"].weight == 0

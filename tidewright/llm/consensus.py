@@ -12,8 +12,8 @@ one reviewer who always agrees grows until it settles everything alone.
 Labels are absent, minor, moderate and severe; a distance of 1 separates
 absence from presence, steps of severity are half as far, and a defect that is
 present without a known severity is far from absence only. An adjudicated
-observation settles its finding; other findings use all reviewers' last
-observations, drafts only where the reviewer left no review.
+observation settles its finding, from the first round on; other findings use
+all reviewers' last observations, drafts only where the reviewer left no review.
 
 After the first grouping a finding has at most one label per reviewer, so no
 finding can be hot; a reviewer may be, and is met by partial aggregation and a
@@ -23,7 +23,9 @@ collected.
 Defined results: rows without finding keys count for no finding, rows without a
 reviewer as the reviewer ''; repeated rows count once; of rows recorded at one
 time the one with the greater ``observation_id`` holds; ties between labels go
-to the less severe; a finding with no usable label is not settled (null).
+to the less severe; a finding with no usable label is not settled (null). A
+reviewer who left no label but adjudications has a row without labels: the mean
+error is null, and the weight 0, to which the bound goes with the labels' number.
 """
 
 from __future__ import annotations
@@ -140,11 +142,13 @@ def discover(observations: DataFrame) -> tuple[DataFrame, DataFrame]:
     labels = voted.where("label is not null")
     free = labels.where("not settles")
     fixed = labels.where("settles").groupBy(*FINDING).agg(F.max_by("label", F.struct("at", "reviewer_id")).alias("fixed"))
+    fixed = cut(fixed)
     weights, truth = None, None
     for _ in range(MAX_ROUNDS):
         weighted = free.withColumn("weight", F.lit(1.0)) if weights is None else free.join(weights.select("reviewer_id", "weight"), "reviewer_id")
         now = cut(_settle(weighted))
-        weights = cut(_weights(free, now))
+        known = now.join(fixed, list(FINDING), "left").select(*FINDING, F.coalesce("fixed", "truth").alias("truth"))
+        weights = cut(_weights(free, known))
         if truth is not None:
             changed, total = now.join(truth.select(*FINDING, F.col("truth").alias("was")), list(FINDING)).agg(F.count_if(F.col("truth") != F.col("was")), F.count("*")).first()
             if changed <= SETTLED * total:
@@ -162,7 +166,8 @@ def discover(observations: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.coalesce("n_labels", F.lit(0)).alias("n_labels"),
         F.when(F.col("fixed").isNotNull(), "adjudication").when(F.col("truth").isNotNull(), "consensus").alias("settled_by"),
     )
-    reviewers = weights.select("reviewer_id", F.col("n").cast("long").alias("n_labels"), (F.col("errors") / F.col("n")).alias("mean_error"), "weight")
+    reviewers = voted.select("reviewer_id").distinct().join(weights, "reviewer_id", "left")
+    reviewers = reviewers.select("reviewer_id", F.coalesce(F.col("n").cast("long"), F.lit(0)).alias("n_labels"), (F.col("errors") / F.col("n")).alias("mean_error"), F.coalesce("weight", F.lit(0.0)).alias("weight"))
     return findings, reviewers
 
 
