@@ -66,6 +66,24 @@ def test_store(spark, tmp_path):
     assert {r.k: r.v for r in store.read_current(spark, path).collect()} == {"a": 2, "b": 9, "c": 5}
 
 
+def test_store_survives_a_crash(spark, tmp_path, monkeypatch):
+    """A write that dies leaves the last snapshot; old snapshots go, the newest stay."""
+    path = str(tmp_path / "store")
+    for v in range(5):
+        store.upsert(spark.createDataFrame([("a", v)], "k string, v int"), path, ["k"], F.col("v"))
+    assert len(list((tmp_path / "store").glob("snapshot-*"))) == store.KEPT
+
+    def dies(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "latest", dies)
+        with pytest.raises(OSError):
+            store.upsert(spark.createDataFrame([("a", 9)], "k string, v int"), path, ["k"], F.col("v"))
+    (tmp_path / "store" / ".draft-of-a-dead-writer").mkdir()
+    assert [tuple(r) for r in store.read_current(spark, path).collect()] == [("a", 4)]
+
+
 def test_running_number(spark):
     rows = spark.range(1000).select(((F.col("id") * 37) % 1000).alias("v"))
     out = windows.running_number(rows, F.floor(F.col("v") / 100), [F.asc("v")])
@@ -229,9 +247,9 @@ def test_kappa_of_all_reviewers(spark, tmp_path):
         return len(pairs) // 2, round(1 - o, 6), round(1 - e, 6), round(1 - o / e, 6)
 
     presence = [[{"y": 1, "n": 0}.get(p.strip().lower()[0]) for p, _ in ps] for ps in said.values()]
-    assert tuple(evaluation.all_pairs_kappa(spark, str(tmp_path)).first()) == pytest.approx(want(presence, lambda a, b: float(a != b)))
+    assert tuple(evaluation.cohens_kappa(spark, str(tmp_path)).first()) == pytest.approx(want(presence, lambda a, b: float(a != b)))
     ranks = [[{"none": 0, "minor": 1, "moderate": 2, "severe": 3}.get(s) for _, s in ps] for ps in said.values()]
-    assert tuple(evaluation.all_pairs_weighted_kappa(spark, str(tmp_path)).first()) == pytest.approx(want(ranks, lambda a, b: (a - b) ** 2 / 9))
+    assert tuple(evaluation.weighted_kappa(spark, str(tmp_path)).first()) == pytest.approx(want(ranks, lambda a, b: (a - b) ** 2 / 9))
 
 
 def test_proposal(spark):

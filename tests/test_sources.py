@@ -11,7 +11,7 @@ from tidewright.sources import annotations, images, manifests
 def test_manifests(spark, tmp_path):
     (tmp_path / "m.csv").write_text('Image ID,Source-Group,split,SHA256\n1,Pier/1,Train,\n2,,unknown,ab\n3,"a,b",val,cd\n4,x\n')
     rows = {r.sample_id: r for r in manifests.read_manifest(spark, str(tmp_path / "m.csv")).collect()}
-    assert rows["1"].source_group_id == "Pier/1" and rows["1"].file_sha256 is None and rows["2"].split is None and rows["3"].source_group_id == "a,b"
+    assert rows["1"].source_group == "Pier/1" and rows["1"].file_sha256 is None and rows["2"].split is None and rows["3"].source_group == "a,b"
     raw = manifests.read_csv(spark, str(tmp_path / "m.csv"), ("split",))
     assert [r[0] for r in raw.where("_corrupt_record is not null").select("Image ID").collect()] == ["4"]
     with pytest.raises(ValueError):
@@ -24,6 +24,14 @@ def test_manifests(spark, tmp_path):
         manifests.resolve(spark.createDataFrame([(1,)], "other int"), required=("split",))
 
 
+def test_manifest_spellings(spark):
+    rows = spark.createDataFrame([("Dev",), (" validation_independent",), ("locked_test",), ("NA",), ("holdout",), (None,)], "canonical_split string")
+    got = manifests.resolve(rows).select("split", manifests.split_of(manifests.F.col("split")).alias("s")).collect()
+    assert [r.s for r in got] == ["train", "validation", "test", None, None, None]
+    assert got[3].split is None and got[4].split == "holdout"
+    assert len(manifests.resolve(rows).columns) == 13
+
+
 def test_clashing_headers(spark):
     assert manifests.snake_case(spark.createDataFrame([(1, 2, 3)], "`A b` int, `a-B` int, `` int")).columns == ["a_b", "a_b_2", "column"]
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,15 +21,23 @@ def exact_groups(df: DataFrame, key: Column, order: str, label: Column) -> DataF
     )
 
 
-def near_codes(codes: DataFrame, code: str, distance: int) -> DataFrame:
+def near_codes(codes: DataFrame, code: str, distance: int, agreeing: int = 2) -> DataFrame:
     """(a, b, distance): distinct 64-bit codes a < b that differ in at most ``distance`` bits, each pair once.
 
-    The code is cut into distance + 1 bands, one of which must agree. Rows that
-    share a code are one code here, so that no hot code multiplies.
+    The code is cut into distance + agreeing bands; of these at least
+    ``agreeing`` agree, so every choice of that many bands is a key. More
+    agreeing bands make longer keys: fewer candidates meet, under more keys
+    each. Rows that share a code are one code here, so that no hot code multiplies.
     """
-    bands = distance + 1
+    bands = distance + agreeing
     edges = [64 * i // bands for i in range(bands + 1)]
-    keys = [F.struct(F.lit(i).alias("n"), F.shiftrightunsigned(code, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("k")) for i, (lo, hi) in enumerate(zip(edges, edges[1:]))]
+    parts = [(lo, hi - lo) for lo, hi in zip(edges, edges[1:])]
+    keys = []
+    for n, chosen in enumerate(combinations(parts, agreeing)):
+        key = F.lit(0).cast("long")
+        for lo, width in chosen:
+            key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned(code, lo).bitwiseAND(F.lit((1 << width) - 1)))
+        keys.append(F.struct(F.lit(n).alias("n"), key.alias("k")))
     banded = codes.where(F.col(code).isNotNull()).select(code).distinct().select(code, F.explode(F.array(*keys)).alias("b")).select(code, "b.n", "b.k")
     left, right = banded.withColumnRenamed(code, "a"), banded.withColumnRenamed(code, "b")
     return left.join(right, ["n", "k"]).where("a < b").select("a", "b", hamming(F.col("a"), F.col("b")).alias("distance")).where(F.col("distance") <= distance).distinct()

@@ -50,31 +50,49 @@ def compare(left: DataFrame, right: DataFrame, keys: list[str], values: list[str
     return a.join(b, keys, "full_outer").select(*keys, status.alias("status"))
 
 
+#: Snapshots that are kept: the current one and those that readers may still hold.
+KEPT = 3
+
+
 def upsert(df: DataFrame, path: str, keys: list[str], *order: Column) -> str:
     """Write the latest rows of the table at ``path`` and ``df`` as a new snapshot; returns its folder.
 
-    Snapshots are folders named in CURRENT, so a reader never sees half a table.
+    Snapshots are numbered. One becomes visible by renaming its finished folder
+    to the next number, so a reader sees whole snapshots only, a crash leaves
+    the last one in place, and of two writers of one number the second fails.
+    Superseded snapshots but the last KEPT are deleted.
     """
     spark = df.sparkSession
-    current = read_current(spark, path)
+    numbers = _snapshots(spark, path)
+    current = spark.read.parquet(_folder(path, numbers[-1])) if numbers else None
     merged = latest(df if current is None else current.unionByName(df), keys, *order)
-    target = f"{path}/snapshot-{uuid.uuid4().hex}"
-    merged.write.parquet(target)
     fs, p = _file_system(spark, path)
-    fresh = p(f"{path}/CURRENT.new")
-    stream = fs.create(fresh, True)
-    stream.writeBytes(target)
-    stream.close()
-    fs.delete(p(f"{path}/CURRENT"), False)
-    fs.rename(fresh, p(f"{path}/CURRENT"))
+    draft, target = f"{path}/.draft-{uuid.uuid4().hex}", _folder(path, numbers[-1] + 1 if numbers else 0)
+    merged.write.parquet(draft)
+    if fs.exists(p(target)) or not fs.rename(p(draft), p(target)):
+        fs.delete(p(draft), True)
+        raise RuntimeError(f"another writer made {target}")
+    for old in numbers[: max(0, len(numbers) + 1 - KEPT)]:
+        fs.delete(p(_folder(path, old)), True)
     return target
 
 
 def read_current(spark, path: str) -> DataFrame | None:
+    """The newest snapshot, or None where there is none."""
+    numbers = _snapshots(spark, path)
+    return spark.read.parquet(_folder(path, numbers[-1])) if numbers else None
+
+
+def _folder(path: str, number: int) -> str:
+    return f"{path}/snapshot-{number:012d}"
+
+
+def _snapshots(spark, path: str) -> list[int]:
     fs, p = _file_system(spark, path)
-    if not fs.exists(p(f"{path}/CURRENT")):
-        return None
-    return spark.read.parquet(spark.read.text(f"{path}/CURRENT").first()[0])
+    if not fs.exists(p(path)):
+        return []
+    names = (s.getPath().getName() for s in fs.listStatus(p(path)))
+    return sorted(int(n.removeprefix("snapshot-")) for n in names if n.startswith("snapshot-"))
 
 
 def _file_system(spark, path: str):

@@ -53,28 +53,6 @@ def best_threshold(spark: SparkSession, d: str) -> DataFrame:
     return threshold_sweep(spark, d).agg(F.max(F.struct("f1", (-F.col("threshold")).alias("t"))).alias("m")).select((-F.col("m.t")).alias("threshold"), "m.f1")
 
 
-def _two_reviews(spark: SparkSession, d: str, column: str) -> DataFrame:
-    """The labels of the first two reviewers of each finding, as in the SQL; _all_reviews has the others, too."""
-    rows = read(spark, d, "belly_observations").where(squeezed(F.col("review_status")) == "reviewed").select("fish_instance_id", "finding_id", "reviewer_id", squeezed(F.col(column)).alias("s"))
-    one = rows.where("s is not null").groupBy("fish_instance_id", "finding_id", "reviewer_id").agg(F.max("s").alias("s"))
-    pair = F.slice(F.array_sort(F.collect_list(F.struct("reviewer_id", "s"))), 1, 2)  # at most one row per reviewer
-    return one.groupBy("fish_instance_id", "finding_id").agg(pair.alias("p")).where(F.size("p") == 2).select(F.col("p")[0]["s"].alias("a"), F.col("p")[1]["s"].alias("b"))
-
-
-def cohens_kappa(spark: SparkSession, d: str) -> DataFrame:
-    pairs = _two_reviews(spark, d, "presence").where("a in ('yes', 'no') and b in ('yes', 'no')")
-    out = metrics.kappa(metrics.confusion(pairs, F.col("a"), F.col("b")))
-    return out.select("n", *(F.round(c, 6).alias(c) for c in ("observed", "expected", "kappa")))
-
-
-def weighted_kappa(spark: SparkSession, d: str) -> DataFrame:
-    """Quadratic weights over the rank of severities."""
-    pairs = _two_reviews(spark, d, "severity")
-    ranks = pairs.select(*(F.element_at(F.create_map(*(F.lit(x) for kv in (("none", 0), ("minor", 1), ("moderate", 2), ("severe", 3)) for x in kv)), F.col(c)).alias(c) for c in "ab")).where("a is not null and b is not null")
-    out = metrics.kappa(metrics.confusion(ranks, F.col("a"), F.col("b")), lambda a, b: (a - b) * (a - b) / F.lit(9.0))
-    return out.select("n", *(F.round(c, 6).alias(c) for c in ("observed", "expected", "kappa")))
-
-
 def _all_reviews(spark: SparkSession, d: str, label: Column) -> DataFrame:
     """(fish_instance_id, finding_id, label): the last review of every reviewer of a finding, where it has a label."""
     rows = read(spark, d, "belly_observations").where((squeezed(F.col("review_status")) == "reviewed") & F.col("fish_instance_id").isNotNull() & F.col("finding_id").isNotNull())
@@ -88,13 +66,13 @@ def _pairs_kappa(labels: DataFrame, domain: list, weight: Callable[[Column, Colu
     return out.select((F.col("n") / 2).cast("bigint").alias("n"), *(F.round(c, 6).alias(c) for c in ("observed", "expected", "kappa")))
 
 
-def all_pairs_kappa(spark: SparkSession, d: str) -> DataFrame:
+def cohens_kappa(spark: SparkSession, d: str) -> DataFrame:
     """Kappa of presence over all pairs of a finding's reviewers; they are interchangeable, so both have the same marginals."""
     says = value_or_null(F.col("presence"))
     return _pairs_kappa(_all_reviews(spark, d, F.when(says.isin("yes", "y", "true"), "yes").when(says.isin("no", "n", "false"), "no")), ["no", "yes"])
 
 
-def all_pairs_weighted_kappa(spark: SparkSession, d: str) -> DataFrame:
+def weighted_kappa(spark: SparkSession, d: str) -> DataFrame:
     """Quadratic weights over the rank of severities, over all pairs of a finding's reviewers."""
     how = squeezed(F.col("severity"))
     rank = F.coalesce(*(F.when(how == name, i) for i, name in enumerate(("none", "minor", "moderate", "severe"))))
@@ -153,8 +131,9 @@ def weighted_support(spark: SparkSession, d: str) -> DataFrame:
 
 def feature_model(spark: SparkSession, d: str) -> DataFrame:
     """Confusion of a classifier of embeddings' labels on the fifth of the rows that a hash holds out."""
-    columns = [f"x{i}" for i in range(16)]
-    rows = read(spark, d, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"), *(F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(columns)))
+    table = read(spark, d, "embeddings")
+    columns = [f"x{i}" for i in range(table.agg(F.max(F.size("embedding"))).first()[0] or 0)]
+    rows = table.select("vec_id", F.col("label").cast("string").alias("label"), *(F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(columns)))
     held = F.pmod(F.xxhash64("vec_id"), F.lit(5)) == 0
     model = learning.fit(rows.where(~held), columns, "label")
     out = learning.predictions(model, rows.where(held), "label")
@@ -164,7 +143,7 @@ def feature_model(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        feature_model, confusion_matrix, precision_recall_f1, threshold_sweep, best_threshold, cohens_kappa, weighted_kappa, all_pairs_kappa, all_pairs_weighted_kappa, counting_error, average_precision, average_precision_area, bootstrap_interval, review_conflicts, weighted_support,
+        feature_model, confusion_matrix, precision_recall_f1, threshold_sweep, best_threshold, cohens_kappa, weighted_kappa, counting_error, average_precision, average_precision_area, bootstrap_interval, review_conflicts, weighted_support,
     )
 }
 
@@ -173,8 +152,10 @@ votes as (select session_id, fish_id as track_id, grade from v qualify row_numbe
 last as (select * from (select *, row_number() over (partition by session_id, track_id order by try_cast(updated_at as timestamptz) desc nulls last) as rn from fish_inspections) where rn = 1),
 t as (select session_id, track_id, nullif(final_grade, 'Ungraded') as truth, grade as predicted, case when isfinite(model1_confidence) then model1_confidence end as confidence from last join votes using (session_id, track_id))"""
 _SQ = lambda c: f"lower(regexp_replace({c}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g'))"
-_TWO = lambda c: f"""one as (select fish_instance_id, finding_id, reviewer_id, max(s) as s from (select *, {_SQ(c)} as s from belly_observations where {_SQ("review_status")} = 'reviewed') where s is not null group by all),
-p as (select list({{'r': reviewer_id, 's': s}} order by reviewer_id)[1:2] as p from one group by fish_instance_id, finding_id having count(*) >= 2), ab as (select p[1].s as a, p[2].s as b from p)"""
+_PAIRS = lambda label: f"""last as (select fish_instance_id, finding_id, coalesce(reviewer_id, '') as r, arg_max({{'l': {label}}}, (coalesce(recorded_at, timestamp '1000-01-01'), observation_id)).l as l
+  from belly_observations where {_SQ("review_status")} = 'reviewed' and fish_instance_id is not null and finding_id is not null group by all),
+one as (select x.l as a, y.l as b from last x join last y on x.fish_instance_id = y.fish_instance_id and x.finding_id = y.finding_id and x.r < y.r where x.l is not null and y.l is not null),
+ab as (select a, b from one union all select b, a from one)"""
 _RANKED = f"""{_TRUTH}, k as (select *, row_number() over w as rank, sum((truth = predicted)::int) over (w rows unbounded preceding) as tp, sum((truth = predicted)::int) over (partition by predicted) as positives from
   (select *, session_id || '/' || track_id as id from t where truth is not null and predicted is not null and confidence is not null) window w as (partition by predicted order by confidence desc, id)),
 q as (select predicted, rank, tp::double / rank as precision, tp::double / positives as recall, floor(tp * 100 / positives)::int as level from k where positives > 0)"""
@@ -192,11 +173,10 @@ ORACLES = {
         round(case when said_n > 0 and true_n > 0 and hits > 0 then 2 * (hits / said_n) * (hits / true_n) / (hits / said_n + hits / true_n) end, 6)::double as f1 from m""",
     "threshold_sweep": f"{_SWEEP} select * from sweep",
     "best_threshold": f"{_SWEEP} select threshold, f1 from sweep order by f1 desc, threshold limit 1",
-    "cohens_kappa": f"""with {_TWO("presence")}, x as (select * from ab where a in ('yes', 'no') and b in ('yes', 'no')), o as (select count(*) as n, avg((a = b)::int) as o, avg((a = 'yes')::int) as pa, avg((b = 'yes')::int) as pb from x)
-        select n, round(o, 6) as observed, round(pa * pb + (1 - pa) * (1 - pb), 6) as expected, round(1 - (1 - o) / (1 - pa * pb - (1 - pa) * (1 - pb)), 6) as kappa from o""",
-    "weighted_kappa": f"""with {_TWO("severity")}, x as (select case a when 'none' then 0 when 'minor' then 1 when 'moderate' then 2 when 'severe' then 3 end as a, case b when 'none' then 0 when 'minor' then 1 when 'moderate' then 2 when 'severe' then 3 end as b from ab),
-        y as (select * from x where a is not null and b is not null), o as (select count(*) as n, avg((a - b) * (a - b) / 9.0) as o, avg(a * a) as aa, avg(b * b) as bb, avg(a) as ma, avg(b) as mb from y)
-        select n, round(1 - o, 6) as observed, round(1 - (aa + bb - 2 * ma * mb) / 9.0, 6) as expected, round(1 - o / ((aa + bb - 2 * ma * mb) / 9.0), 6) as kappa from o""",
+    "cohens_kappa": f"""with {_PAIRS(f"case when {_SQ('presence')} in ('yes', 'y', 'true') then 1 when {_SQ('presence')} in ('no', 'n', 'false') then 0 end")}, o as (select count(*) // 2 as n, avg((a = b)::int) as o, avg(a) as p from ab)
+        select n, round(o, 6) as observed, round(p * p + (1 - p) * (1 - p), 6) as expected, round(1 - (1 - o) / (1 - p * p - (1 - p) * (1 - p)), 6) as kappa from o""",
+    "weighted_kappa": f"""with {_PAIRS(f"case {_SQ('severity')} when 'none' then 0 when 'minor' then 1 when 'moderate' then 2 when 'severe' then 3 end")}, o as (select count(*) // 2 as n, avg((a - b) * (a - b) / 9.0) as o, avg(a * a) as aa, avg(a) as ma from ab)
+        select n, round(1 - o, 6) as observed, round(1 - 2 * (aa - ma * ma) / 9.0, 6) as expected, round(1 - o / (2 * (aa - ma * ma) / 9.0), 6) as kappa from o""",
     "counting_error": """with e as (select coalesce(tracker_backend, 'none') as backend, (coalesce(f.n, 0) - coalesce(i.n, 0))::double as e from inspection_sessions s left join (select session_id, count(distinct fish_id) as n from frame_grades group by 1) f using (session_id)
         left join (select session_id, count(distinct track_id) as n from fish_inspections group by 1) i using (session_id))
         select coalesce(backend, 'all') as subset, count(*) as n, round(avg(abs(e)), 6) as mae, round(sqrt(avg(e * e)), 6) as rmse, round(avg(e), 6) as bias, round(avg((e = 0)::int), 6) as exact, round(avg((abs(e) <= 1)::int), 6) as within_one from e group by rollup (backend)""",

@@ -180,9 +180,11 @@ def proposed_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def split_problems(spark: SparkSession, d: str) -> DataFrame:
-    """What is wrong with the delivered splits: values that cross them and records without one."""
-    rows = _records(spark, d).withColumn("label", F.lit("any"))
-    return proposal.problems(rows, "split", ["grp", "specimen", "sha"], "label", ["any"]).groupBy("kind").agg(F.count("*").alias("n"))
+    """What is wrong with the delivered splits: values that cross them, classes of annotations that one lacks, and records without one."""
+    classes = read(spark, d, "source_records").select("record_id", F.explode("annotations.class_id").alias("label")).where("label is not null").distinct()
+    rows = _records(spark, d).join(classes, "record_id", "left")
+    domain = [r[0] for r in classes.select("label").distinct().orderBy("label").limit(1000).collect()]  # classes are a closed domain
+    return proposal.problems(rows, "split", ["grp", "specimen", "sha"], "label", domain).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 QUERIES = {
@@ -211,7 +213,9 @@ _LINKS = f"""{_RECORDS}, tokens as (select record_id, 0 as kind, sha as v from r
 ORACLES = {
     "split_problems": f"""with {_RECORDS}, x as (select 'grp' as k, grp as v, split from records union all select 'specimen', specimen, split from records union all select 'sha', sha, split from records),
         c as (select k, v from x where v is not null and split is not null group by all having count(distinct split) > 1)
-        select 'crosses:' || k as kind, count(*) as n from c group by k union all select 'without_split', 1 from records where split is null having count(*) > 0""",
+        , l as (select distinct record_id, unnest(annotations).class_id as class from source_records), has as (select distinct split, class from l join records using (record_id) where split is not null and class is not null)
+        select 'crosses:' || k as kind, count(*) as n from c group by k union all select 'without_split', 1 from records where split is null having count(*) > 0
+        union all select 'lacks', count(*) from (select s.split, k.class from (select distinct split from records where split is not null) s, (select distinct class from l where class is not null) k except select split, class from has) having count(*) > 0""",
     "exact_duplicate_groups": "select sha256(text) as key, min(doc_id) as canonical, count(*) as size, min(source) <> max(source) as mixed_labels from documents where text is not null group by text having count(*) > 1",
     "near_hash_pairs": f"""with {_RECORDS}, s as (select {_SIGNED("code")} as code, any_value(code) as u, count(*) as n from records group by 1)
         select x.code as a, y.code as b, bit_count(xor(x.u, y.u))::int as distance, x.n as a_records, y.n as b_records from s x, s y where x.code < y.code and bit_count(xor(x.u, y.u)) <= 5""",

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-EXTENSIONS = "*.{jpg,jpeg,png,bmp,gif}"
+EXTENSIONS = "*.{jpg,jpeg,png,bmp,gif,tif,tiff,webp}"  # what can't be decoded is reported as such
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:
