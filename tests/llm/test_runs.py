@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -70,6 +71,22 @@ def test_near_runs_step_over_flickers(spark):
     assert runs.runs(table(spark, rows), runs.EXACT, 1).count() == 3
 
 
+def test_near_runs_do_not_see_borders(spark, monkeypatch):
+    """Grades 0x10, 1x5, 0x10 and random ones give the same runs whole and cut into stretches."""
+    rng = random.Random(3)
+    names = "ABC"
+    rows = [("s", 1, n, "B" if 10 <= n < 15 else "A", n) for n in range(25)]
+    for fish in range(2, 12):
+        n = rng.randrange(-40, 0)
+        for _ in range(150):
+            n += rng.choice([1, 1, 1, 2, 5, 29, 30, 31, 40])
+            rows.append(("s", fish, n, None if rng.random() < 0.03 else rng.choice(names) if rng.random() < 0.5 else "A", n + 100))
+    whole = sorted(map(tuple, runs.runs(table(spark, rows), runs.NEAR, 1).collect()))
+    for stretch in (40, 64, 100):  # longer than the largest gap, as STRETCH is
+        monkeypatch.setattr(runs, "STRETCH", stretch)
+        assert sorted(map(tuple, runs.runs(table(spark, rows), runs.NEAR, 1).collect())) == whole
+
+
 def test_long_run(spark):
     rows = [("s", 1, n, "A", 0) for n in range(20_000)]
     assert found(spark, rows) == [("s", 1, 0, 19_999)]

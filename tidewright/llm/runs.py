@@ -16,9 +16,12 @@ that is EXACT below. A larger penalty lets runs step over flickers.
 A fish may hold any share of all rows: frames are first reduced to the row
 received last (a partial aggregation), then dealt to tasks by fish and stretch
 of STRETCH frame numbers, at most STRETCH rows each, and streamed in order.
-Runs that end at the border of a stretch are joined to their continuation
-afterwards; only those few rows are windowed per fish. Under NEAR penalties a
-run across a border is the union of both sides' optimal runs of one grade.
+Runs of one grade that end at the border of a stretch are joined to their
+continuation afterwards; only those few rows are windowed per fish. Where runs
+may hold foreign frames, a section that crosses a border is not solved by its
+parts: their blocks of equal frames, which is all the program needs, are brought
+together and the section is solved whole, so borders never change a result. A
+task then holds the blocks of one unbroken section, never a fish's frames.
 
 Defined results: rows without session, fish or frame number belong to no run;
 of rows of one frame received at the same time the better-known grade in the
@@ -50,6 +53,11 @@ class Segmentation:
     distance: tuple[tuple[float, ...], ...]
     max_gap: int = 30
 
+    @property
+    def plain(self) -> bool:
+        """Whether a foreign frame always costs more than two cuts, so that the optimum is the runs of one grade."""
+        return 2 * self.penalty < min(v for row in self.distance for v in row if v > 0)
+
 
 _UNIT = tuple(tuple(float(a != b) for b in range(4)) for a in range(4))
 _STEPS = tuple(tuple(abs(a - b) / 3 for b in range(4)) for a in range(4))
@@ -146,7 +154,7 @@ def _blocks(rows: pd.DataFrame, max_gap: int) -> pd.DataFrame:
 
 RUN_SCHEMA = (
     "session_id string, fish_id bigint, stretch bigint, code int, start_frame bigint, end_frame bigint, "
-    "n_frames bigint, foreign bigint, t0 bigint, t1 bigint, opens boolean, closes boolean"
+    "n_frames bigint, foreign bigint, t0 bigint, t1 bigint, opens boolean, closes boolean, section bigint, solved boolean"
 )
 
 
@@ -157,9 +165,15 @@ def _cut_runs(how: Segmentation):
             code, n = blocks["code"].to_numpy(), blocks["n"].to_numpy()
             begins = np.flatnonzero(np.r_[True, section[1:] != section[:-1]]) if len(section) else np.array([], int)
             bounds = np.append(begins, len(section))
-            first_block, last_block, grades = [], [], []
+            stretches = blocks["stretch"].to_numpy()
+            opens = blocks["first"].to_numpy() & (blocks["start"].to_numpy() - stretches * STRETCH < how.max_gap)
+            closes = blocks["last"].to_numpy() & ((stretches + 1) * STRETCH - blocks["end"].to_numpy() <= how.max_gap)
+            first_block, last_block, grades, solved = [], [], [], []
             for a, b in zip(bounds[:-1], bounds[1:]):
-                if b - a == 1:
+                whole = how.plain or not (opens[a] or closes[b - 1])
+                if not whole:  # the blocks themselves
+                    found = [(k + 1, int(code[a + k])) for k in range(b - a)]
+                elif b - a == 1:
                     found = [(1, int(code[a]))]
                 else:
                     found = segment(code[a:b].tolist(), n[a:b].tolist(), how)
@@ -168,17 +182,18 @@ def _cut_runs(how: Segmentation):
                     first_block.append(at)
                     last_block.append(a + end - 1)
                     grades.append(grade)
+                    solved.append(whole)
                     at = a + end
             i, j, grade = np.array(first_block, int), np.array(last_block, int), np.array(grades, int)
             reach = np.append(0, np.cumsum(n))
             own = np.array([np.append(0, np.cumsum(np.where(code == g, n, 0))) for g in range(len(GRADES))])
             total = reach[j + 1] - reach[i]
-            stretch, start, end = blocks["stretch"].to_numpy()[i], blocks["start"].to_numpy()[i], blocks["end"].to_numpy()[j]
+            stretch, start, end = stretches[i], blocks["start"].to_numpy()[i], blocks["end"].to_numpy()[j]
             yield pd.DataFrame({
                 "session_id": blocks["session_id"].to_numpy()[i], "fish_id": blocks["fish_id"].to_numpy()[i], "stretch": stretch, "code": grade,
                 "start_frame": start, "end_frame": end, "n_frames": total, "foreign": total - (own[grade, j + 1] - own[grade, i]),
                 "t0": pd.array(blocks["t0"].to_numpy()[i]), "t1": pd.array(blocks["t1"].to_numpy()[j]),
-                "opens": blocks["first"].to_numpy()[i] & (start - stretch * STRETCH < how.max_gap), "closes": blocks["last"].to_numpy()[j] & ((stretch + 1) * STRETCH - end <= how.max_gap),
+                "opens": opens[i], "closes": closes[j], "section": section[i], "solved": np.array(solved, bool),
             })
 
     return cut_runs
@@ -191,18 +206,43 @@ def runs(frames: DataFrame, how: Segmentation = EXACT, min_frames: int = 2) -> D
     dealt = last_received(frames).select("session_id", "fish_id", stretch, "frame", "code", F.coalesce("at", F.lit(-(1 << 60))).alias("at"))
     ordered = dealt.repartition("session_id", "fish_id", "stretch").sortWithinPartitions("session_id", "fish_id", "stretch", "frame")
     parts = cut(ordered.mapInPandas(_cut_runs(how), RUN_SCHEMA))  # read twice below
-    return _joined(parts, how.max_gap).where(F.col("n_frames") >= min_frames).select(
+    return (_joined if how.plain else _resolved)(parts, how).where(F.col("n_frames") >= min_frames).select(
         "session_id", "fish_id", F.element_at(F.array(*map(F.lit, GRADES)), F.col("code") + 1).alias("grade"), "start_frame", "end_frame", "n_frames", F.col("foreign").alias("foreign_frames"),
         F.when((F.col("t0") > -(1 << 60)) & (F.col("t1") > -(1 << 60)), (F.col("t1") - F.col("t0")) / 1e6).alias("duration_s"),
     )
 
 
-def _joined(parts: DataFrame, max_gap: int) -> DataFrame:
+def _resolved(parts: DataFrame, how: Segmentation) -> DataFrame:
+    """Solved runs, and the runs of the sections that cross borders, each solved over all its blocks."""
+    fish = Window.partitionBy("session_id", "fish_id").orderBy("start_frame")
+    before = F.lag(F.struct("stretch", "section", "end_frame", "closes")).over(fish)
+    inside = (before["stretch"] == F.col("stretch")) & (before["section"] == F.col("section"))
+    across = F.col("opens") & before["closes"] & (before["stretch"] + 1 == F.col("stretch")) & (F.col("start_frame") - before["end_frame"] <= how.max_gap)
+    chain = F.sum(F.when(inside | across, 0).otherwise(1)).over(fish.rowsBetween(Window.unboundedPreceding, 0))
+    columns = ["session_id", "fish_id", "code", "start_frame", "end_frame", "n_frames", "foreign", "t0", "t1"]
+
+    def solve(blocks: pd.DataFrame) -> pd.DataFrame:
+        blocks = blocks.sort_values("start_frame", ignore_index=True)
+        code, n = blocks["code"].to_numpy(), blocks["n_frames"].to_numpy()
+        rows, at = [], 0
+        for end, grade in segment(code.tolist(), n.tolist(), how):
+            i, j = at, end - 1
+            foreign = int(n[i:end][code[i:end] != grade].sum())
+            rows.append((blocks["session_id"][i], blocks["fish_id"][i], grade, blocks["start_frame"][i], blocks["end_frame"][j], int(n[i:end].sum()), foreign, blocks["t0"][i], blocks["t1"][j]))
+            at = end
+        return pd.DataFrame(rows, columns=columns)
+
+    kinds = {field.split()[0]: field for field in RUN_SCHEMA.split(", ")}
+    open_ = parts.where("not solved").withColumn("chain", chain).groupBy("session_id", "fish_id", "chain")
+    return parts.where("solved").select(*columns).unionByName(open_.applyInPandas(solve, ", ".join(kinds[c] for c in columns)))
+
+
+def _joined(parts: DataFrame, how: Segmentation) -> DataFrame:
     """Runs with their continuations in the next stretch; only border runs are windowed."""
     border = parts.where("opens or closes")
     fish = Window.partitionBy("session_id", "fish_id").orderBy("start_frame")
     before = F.lag(F.struct("stretch", "code", "end_frame", "closes")).over(fish)
-    continues = F.col("opens") & before["closes"] & (before["stretch"] + 1 == F.col("stretch")) & (before["code"] == F.col("code")) & (F.col("start_frame") - before["end_frame"] <= max_gap)
+    continues = F.col("opens") & before["closes"] & (before["stretch"] + 1 == F.col("stretch")) & (before["code"] == F.col("code")) & (F.col("start_frame") - before["end_frame"] <= how.max_gap)
     chain = F.sum(F.when(continues, 0).otherwise(1)).over(fish.rowsBetween(Window.unboundedPreceding, 0))
     joined = (
         border.withColumn("chain", chain)
