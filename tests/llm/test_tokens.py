@@ -115,3 +115,20 @@ def test_all_orders_of_small_sizes():
     for sizes in itertools.product((3, 5, 7), repeat=4):
         bins = packing.best_fit(np.array(sizes), 10)
         assert np.bincount(bins, weights=sizes).max() <= 10
+
+
+def test_repeated_identifiers_and_summary(spark):
+    """Two long rows under one doc_id fill containers of their own; the bound holds for every budget."""
+    text = "fish " * 300
+    docs = spark.createDataFrame([(1, text), (1, text), (2, "short"), (2, "short"), (None, "no id"), (3, None)], "doc_id bigint, text string")
+    budgets = spark.createDataFrame([(1, 100), (2, 1000), (3, 0)], "budget_id int, capacity_tokens int")
+    rows = packing.containers(docs, budgets).collect()
+    fills = {}
+    for r in rows:
+        fills.setdefault((r.budget_id, r.container), []).append(r)
+    for (budget, _), of in fills.items():
+        assert sum(r.n_tokens for r in of) == of[0].fill_tokens <= of[0].capacity_tokens
+    for r in packing.summary(docs, budgets).collect():
+        mine = [r_ for r_ in rows if r_.budget_id == r.budget_id]
+        assert r.tokens == sum(x.n_tokens for x in mine) and r.containers == len({x.container for x in mine})
+        assert r.bound <= r.containers and r.certified_parts <= r.last_parts and r.rounds == 1

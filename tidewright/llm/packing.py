@@ -13,7 +13,9 @@ only once they fit into one.
 
 Defined results: null and empty texts have size 0 and lie in some container
 like other items; a budget without a positive capacity has no containers;
-repeated rows are items of their own; the fill of a container is the sum of its
+repeated rows are items of their own, also under one doc_id; at most MAX_ROUNDS
+rounds exchange items, and what the last one packs stays so (p8_summary tells
+the rounds and certified parts); the fill of a container is the sum of its
 items' tokens.
 """
 
@@ -89,12 +91,13 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return container
 
 
-ITEM = "budget_id int, capacity_tokens int, doc_id bigint, piece int, n_tokens int"
+ITEM = "budget_id int, capacity_tokens int, doc_id bigint, row bigint, piece int, n_tokens int"
+CERTIFICATE = "budget_id int, round int, part int, bins bigint, bound bigint"
 PACKED = ITEM + ", part int, bin bigint, fill bigint, back boolean, bins bigint, bound bigint"
 
 
 def _pack(items: pd.DataFrame) -> pd.DataFrame:
-    items = items.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+    items = items.sort_values(["n_tokens", "doc_id", "row", "piece"], ascending=[False, True, True, True], kind="stable")
     sizes, capacity = items["n_tokens"].to_numpy(), int(items["capacity_tokens"].iloc[0])
     bins = best_fit(sizes, capacity)
     fill = np.bincount(bins, weights=sizes).astype(np.int64)
@@ -108,8 +111,11 @@ def _pack(items: pd.DataFrame) -> pd.DataFrame:
 
 
 def items(documents: DataFrame, budgets: DataFrame, path: str | None = None) -> DataFrame:
-    """(budget_id, capacity_tokens, doc_id, piece, n_tokens, full): every text's pieces for every budget."""
-    sizes = cut(encode_column(documents, "doc_id", "text", path, lengths_only=True))
+    """(budget_id, capacity_tokens, doc_id, row, piece, n_tokens, full): every text's pieces for every budget.
+
+    ``row`` tells rows of one doc_id apart; it numbers rows that lie in the checkpoint, so it stays the same when read again.
+    """
+    sizes = cut(encode_column(documents, "doc_id", "text", path, lengths_only=True)).withColumn("row", F.monotonically_increasing_id())
     # the budgets are a fixed, small table; more than MAX_BUDGETS of them are refused
     usable = budgets.where("capacity_tokens > 0").select("budget_id", "capacity_tokens").distinct().orderBy("budget_id", "capacity_tokens").limit(MAX_BUDGETS + 1).collect()
     if len(usable) > MAX_BUDGETS:
@@ -122,25 +128,26 @@ def items(documents: DataFrame, budgets: DataFrame, path: str | None = None) ->
         F.array(F.struct(whole.alias("piece"), (n - whole * capacity).alias("n_tokens"), F.lit(False).alias("full"))),
     )
     only_rest = F.array(F.struct(F.lit(0).alias("piece"), n.alias("n_tokens"), F.lit(False).alias("full")))
-    exploded = sizes.select("doc_id", "n_tokens", F.explode(each).alias("b")).select("doc_id", "n_tokens", "b.*").select("budget_id", "capacity_tokens", "doc_id", F.explode(F.when(whole > 0, pieces).otherwise(only_rest)).alias("p"))
+    exploded = sizes.select("doc_id", "row", "n_tokens", F.explode(each).alias("b")).select("doc_id", "row", "n_tokens", "b.*").select("budget_id", "capacity_tokens", "doc_id", "row", F.explode(F.when(whole > 0, pieces).otherwise(only_rest)).alias("p"))
     # a text of a whole number of capacities leaves no rest
-    return exploded.select("budget_id", "capacity_tokens", "doc_id", "p.*").where("full or n_tokens > 0 or piece = 0")
+    return exploded.select("budget_id", "capacity_tokens", "doc_id", "row", "p.*").where("full or n_tokens > 0 or piece = 0")
 
 
 def containers(documents: DataFrame, budgets: DataFrame, path: str | None = None) -> DataFrame:
     """(budget_id, capacity_tokens, doc_id, piece, n_tokens, container, fill_tokens) of every piece."""
-    packed, _ = pack(documents, budgets, path)
-    return packed
+    return pack(documents, budgets, path)[0]
 
 
-def pack(documents: DataFrame, budgets: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(pieces with their containers, per budget the containers, tokens and bound)."""
+def pack(documents: DataFrame, budgets: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pieces with their containers, all items, the certificate of every part of every round: its containers and its bound)."""
     all_items = cut(items(documents, budgets, path))
     full = all_items.where("full")
     done = [
-        full.select("budget_id", "capacity_tokens", "doc_id", "piece", "n_tokens", F.concat_ws("-", F.lit("full"), "budget_id", "doc_id", "piece").alias("container"), F.col("n_tokens").cast("bigint").alias("fill_tokens"))
+        full.select("budget_id", "capacity_tokens", "doc_id", "piece", "n_tokens", F.concat_ws("-", F.lit("full"), "budget_id", "doc_id", "row", "piece").alias("container"), F.col("n_tokens").cast("bigint").alias("fill_tokens"))
     ]
     columns = [c.split()[0] for c in ITEM.split(", ")]
+    shown = [c for c in columns if c != "row"]
+    certificates = all_items.sparkSession.createDataFrame([], CERTIFICATE)
     todo = all_items.where("not full").select(*columns)
     for round_ in range(MAX_ROUNDS):
         # per budget few numbers reach the driver: how many parts its items need
@@ -148,29 +155,47 @@ def pack(documents: DataFrame, budgets: DataFrame, path: str | None = None) -> t
         if not counts:
             break
         parts = F.coalesce(*(F.when(F.col("budget_id") == b, math.ceil(n / PART_ITEMS)) for b, n in counts.items()), F.lit(1))
-        dealt = todo.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", F.lit(round_)), parts).cast("int"))
+        dealt = todo.withColumn("part", F.pmod(F.xxhash64("doc_id", "row", "piece", F.lit(round_)), parts).cast("int"))
         result = cut(dealt.groupBy("budget_id", "part").applyInPandas(_pack, PACKED))
+        certificates = certificates.unionByName(result.groupBy("budget_id", F.lit(round_).alias("round"), "part").agg(F.max("bins").alias("bins"), F.max("bound").alias("bound")))
         ends = round_ == MAX_ROUNDS - 1
         # a budget whose items were one part has nothing to exchange with
         single = F.coalesce(*(F.when(F.col("budget_id") == b, n <= PART_ITEMS) for b, n in counts.items()), F.lit(True))
         keep = F.lit(True) if ends else ~F.col("back") | single
         named = F.concat_ws("-", F.lit(f"r{round_}"), "budget_id", "part", "bin").alias("container")
-        done.append(result.where(keep).select(*columns, named, F.col("fill").alias("fill_tokens")))
+        done.append(result.where(keep).select(*shown, named, F.col("fill").alias("fill_tokens")))
         todo = result.where(~keep).select(*columns)
         if ends or all(n <= PART_ITEMS for n in counts.values()):
             break
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out, all_items
+    return out, all_items, certificates
+
+
+def total_bound(every: DataFrame) -> DataFrame:
+    """(budget_id, capacity_tokens, bound): dual-feasible functions summed over all items, which holds for any packing.
+
+    Both families of ``bound`` are sums over items, so they need one aggregation; the second takes its cuts at 32nds of the capacity.
+    """
+    n, c = F.col("n_tokens").cast("bigint"), F.col("capacity_tokens").cast("bigint")
+    sums = [F.ceil(F.sum(n) / F.max(c))]
+    for k in STEPS:
+        scaled = (k + 1) * n
+        sums.append(F.ceil(F.sum(F.when(scaled % c == 0, n * k).otherwise(c * F.floor(scaled / c))) / (F.max(c) * k)))
+    for e in range(1, 17):
+        least = F.greatest(F.floor(c * e / 32), F.lit(1))
+        sums.append(F.count_if(n > c - least) + F.ceil(F.sum(F.when((n >= least) & (n <= c - least), n).otherwise(0)) / F.max(c)))
+    return every.where("n_tokens > 0").groupBy("budget_id", "capacity_tokens").agg(F.greatest(*sums).alias("bound"))
 
 
 def summary(documents: DataFrame, budgets: DataFrame, path: str | None = None) -> DataFrame:
-    """Per budget: containers, tokens, the bound on containers, and the share of room that is filled."""
-    packed, every = pack(documents, budgets, path)
+    """Per budget: containers, tokens, the bound on containers, the share of room that is filled, rounds of exchange,
+    and of the parts of the last round how many there were and how many are certified to need no fewer containers."""
+    packed, every, certificates = pack(documents, budgets, path)
     used = packed.groupBy("budget_id", "capacity_tokens").agg(F.countDistinct("container").alias("containers"), F.sum("n_tokens").alias("tokens"))
-    # the volume bound and, for items over half the capacity, the count bound; both sums distribute
-    n, c = F.col("n_tokens"), F.col("capacity_tokens")
-    cuts = [F.ceil((F.sum(F.when(n > c - F.floor(c * e), c).when(n >= F.floor(c * e), n).otherwise(0))) / c) for e in (i / 16 for i in range(9))]
-    bounds = every.groupBy("budget_id", "capacity_tokens").agg(F.greatest(*cuts).alias("bound"))
-    return used.join(bounds, ["budget_id", "capacity_tokens"]).withColumn("filled", F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")))
+    last = certificates.groupBy("budget_id").agg(F.max("round").alias("round"))
+    certified = F.count_if(F.col("bins") <= F.greatest("bound", F.lit(1)))
+    parts = certificates.join(last, ["budget_id", "round"]).groupBy("budget_id").agg((F.max("round") + 1).alias("rounds"), F.count("*").alias("last_parts"), certified.alias("certified_parts"))
+    out = used.join(total_bound(every), ["budget_id", "capacity_tokens"], "left").join(parts, "budget_id", "left")
+    return out.na.fill(0, ["bound", "rounds", "last_parts", "certified_parts"]).withColumn("filled", F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")))
