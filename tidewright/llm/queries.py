@@ -42,6 +42,10 @@ def p3_balance(spark: SparkSession, d: str) -> DataFrame:
     return splits.balance(p3_splits(spark, d), _read(spark, d, "split_targets"))
 
 
+def p3_labels(spark: SparkSession, d: str) -> DataFrame:
+    return splits.label_balance(_read(spark, d, "source_records"), p3_splits(spark, d), _read(spark, d, "split_targets"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return runs.found(_read(spark, d, "frame_grades"))
 
@@ -91,7 +95,7 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_consensus, p1_reliability, p2_found, p3_found, p3_splits, p3_balance, p4_found, p4_runs, p4_near_runs, p6_found,
+        p1_found, p1_consensus, p1_reliability, p2_found, p3_found, p3_splits, p3_balance, p3_labels, p4_found, p4_runs, p4_near_runs, p6_found,
         p6_by_split_and_group, p7_ids, p7_round_trip, p8_containers, p8_summary, p9_found, p9_redacted,
     )
 }

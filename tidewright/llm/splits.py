@@ -7,6 +7,10 @@ bundles meets the splits' quotas, with costs on deviating from a split's quota
 and, lower, from a label's quota within a split; the flow is rounded to whole
 sets and a bundle's sets take their places in the order of a hash.
 
+A set's label profile is the class with most annotations in it (label_balance
+tells how all classes' annotations come out). Whole class vectors would make
+nearly every larger set a bundle of its own, as many as there are sets.
+
 Only bundles reach the driver. With N records there are at most sqrt(2 N)
 sizes, times the labels, so their number is bounded by the square root of the
 input; sets and records stay distributed. A set's place in its bundle comes
@@ -71,57 +75,83 @@ def torn(members: DataFrame) -> DataFrame:
 def allocate(bundles: list[tuple[int, int, int]], shares: dict[str, float]) -> dict[tuple[int, int], list[int]]:
     """Sets of each bundle (size, label, number) for each split, by min-cost flow and integral rounding.
 
-    The flow may divide a set. The largest divided sets then go whole to the
-    split that got most of them, and the flow of all other sets is solved again
-    under what the quotas leave, until only sets of size 1 or none are divided.
+    Sizes are placed from the largest down, those within a factor of two at
+    once. Before each step a flow sends all open records of every label to the
+    splits at least deviation from what the quotas leave. The step's bundles
+    take their part of it in whole sets; a set that a split's part doesn't fill
+    goes where its size and then its label have most room, and the next flow
+    makes up for it. The flow's network has a node per label and split, not per
+    bundle, so a step costs as much as its bundles are many. Sets of size 1
+    follow an integral flow exactly.
     """
     names, total = list(shares), sum(shares.values()) or 1.0
     part = [shares[s] / total for s in names]
-    k = len(names)
-    fixed = {(size, label): [0] * k for size, label, _ in bundles}
-    left = {(size, label): n for size, label, n in bundles}
-    while True:
-        flows = _divide(bundles, part, fixed, left)
-        divided = [key for key, f in flows.items() if any(x % key[0] for x in f)]
-        if not divided:
-            return {key: [fixed[key][s] + flows.get(key, [0] * k)[s] // key[0] for s in range(k)] for key in fixed}
-        largest = max(size for size, _ in divided)
-        for key in [key for key in divided if key[0] * 2 > largest]:
-            size, f = key[0], flows[key]
-            whole = sum(x // size for x in f)
-            # a bundle's divided sets stay together as whole sets, most of the flow first
-            for s in sorted(range(k), key=lambda s: (-(f[s] % size), s))[: left[key] - whole]:
-                fixed[key][s] += 1
-                left[key] -= 1
-
-
-def _divide(bundles, part, fixed, left) -> dict[tuple[int, int], list[int]]:
-    """Records of each bundle's open sets for each split: the flow of least deviation."""
-    k, labels = len(part), sorted({label for _, label, _ in bundles})
-    row = {label: i for i, label in enumerate(labels)}
-    wanted = [[0.0] * k for _ in labels]
+    splits = range(len(names))
+    labels = sorted({label for _, label, _ in bundles})
+    # what each label's quota in each split still wants, and the records that are open
+    wants = {label: [0.0] * len(names) for label in labels}
+    open_ = dict.fromkeys(labels, 0)
     for size, label, n in bundles:
-        for s in range(k):
-            wanted[row[label]][s] += size * (part[s] * n - fixed[size, label][s])
-    open_ = sorted(key for key, n in left.items() if n)
-    room = sum(size * left[size, label] for size, label in open_)
-    source, sink, split_at = 0, 1, 2
-    cell_at, bundle_at = split_at + k, split_at + k + k * len(labels)
-    net = Network(bundle_at + len(open_))
+        open_[label] += size * n
+        for s in splits:
+            wants[label][s] += size * n * part[s]
+    out: dict[tuple[int, int], list[int]] = {}
+    todo = sorted(bundles, reverse=True)
+    at = 0
+    while at < len(todo):
+        largest = todo[at][0]
+        flows = _divide(labels, open_, wants)
+        amount = dict(open_)
+        need = {label: list(f) for label, f in flows.items()}
+        room = [sum(wants[label][s] for label in labels) for s in splits]
+        while at < len(todo) and 2 * todo[at][0] > largest:
+            size, label, n = todo[at]
+            counts = [n * flows[label][s] // amount[label] for s in splits]
+            for s in splits:
+                need[label][s] -= size * counts[s]
+                room[s] -= size * counts[s]
+            for _ in range(n - sum(counts)):
+                best = max(splits, key=lambda s: (room[s] >= size - 0.5, need[label][s], room[s], -s))
+                counts[best] += 1
+                need[label][best] -= size
+                room[best] -= size
+            for s in splits:
+                wants[label][s] -= size * counts[s]
+            open_[label] -= size * n
+            out[size, label] = counts
+            at += 1
+    return out
+
+
+def _divide(labels: list[int], open_: dict[int, int], wants: dict[int, list[float]]) -> dict[int, list[int]]:
+    """Records of each label's open sets for each split: the flow of least deviation from the quotas."""
+    k, source, sink = len(next(iter(wants.values()))), 0, 1
+    split_at, label_at = 2, 2 + k
+    cell_at, room = label_at + len(labels), sum(open_.values())
+    net = Network(cell_at + k * len(labels))
+    quotas = _whole([max(0.0, sum(wants[label][s] for label in labels)) for s in range(k)], room)
     for s in range(k):
-        net.arc(split_at + s, sink, max(0, round(sum(w[s] for w in wanted))))
+        net.arc(split_at + s, sink, quotas[s])
         net.arc(split_at + s, sink, room, QUOTA_COST)
-    for i in range(len(labels)):
+    arcs = {}
+    for i, label in enumerate(labels):
+        wanted = _whole([max(0.0, w) for w in wants[label]], open_[label])
+        net.arc(source, label_at + i, open_[label])
+        arcs[label] = [net.arc(label_at + i, cell_at + i * k + s, open_[label]) for s in range(k)]
         for s in range(k):
-            net.arc(cell_at + i * k + s, split_at + s, max(0, round(wanted[i][s])))
+            net.arc(cell_at + i * k + s, split_at + s, wanted[s])
             net.arc(cell_at + i * k + s, split_at + s, room, 1)
-    arcs = {}
-    for j, (size, label) in enumerate(open_):
-        amount = size * left[size, label]
-        net.arc(source, bundle_at + j, amount)
-        arcs[size, label] = [net.arc(bundle_at + j, cell_at + row[label] * k + s, amount) for s in range(k)]
     net.send(source, sink)
-    return {key: [net.flow(a) for a in of] for key, of in arcs.items()}
+    return {label: [net.flow(a) for a in of] for label, of in arcs.items()}
+
+
+def _whole(parts: list[float], total: int) -> list[int]:
+    """Parts as whole numbers, rounded so that they add up to ``total`` where they nearly do."""
+    out = [int(p + 1e-9) for p in parts]
+    if abs(sum(parts) - total) < 0.5:
+        for s in sorted(range(len(parts)), key=lambda s: (out[s] - parts[s], s))[: total - sum(out)]:
+            out[s] += 1
+    return out
 
 
 def profiles(records: DataFrame, members: DataFrame) -> DataFrame:
@@ -158,3 +188,13 @@ def balance(assigned: DataFrame, targets: DataFrame) -> DataFrame:
     got = assigned.groupBy(F.col("new_split").alias("target_split")).agg(F.count("*").alias("records"), F.countDistinct("group_id").alias("sets"))
     joined = targets.select("target_split", "share").join(got, "target_split", "left").na.fill(0, ["records", "sets"])
     return joined.withColumn("share_got", F.try_divide(F.col("records").cast("double"), F.sum("records").over(Window.partitionBy())))
+
+
+def label_balance(records: DataFrame, assigned: DataFrame, targets: DataFrame) -> DataFrame:
+    """(class, target_split, annotations, share, share_got): of each class's annotations, the share that each split got."""
+    classes = records.where("record_id is not null").groupBy("record_id").agg(F.max(F.col("annotations.class_id")).alias("classes"))
+    per = assigned.join(classes, "record_id").select(F.col("new_split").alias("target_split"), F.explode("classes").alias("class")).where("class is not null").groupBy("class", "target_split").agg(F.count("*").alias("annotations"))
+    each = F.explode(F.array(*(F.struct(F.lit(r[0]).alias("target_split"), F.lit(r[1]).alias("share")) for r in targets.select("target_split", "share").orderBy("target_split").collect())))  # one row per split
+    grid = per.select("class").distinct().select("class", each.alias("t")).select("class", "t.*")
+    full = grid.join(per, ["class", "target_split"], "left").na.fill(0, ["annotations"])
+    return full.select("class", "target_split", "annotations", "share", F.try_divide(F.col("annotations").cast("double"), F.sum("annotations").over(Window.partitionBy("class"))).alias("share_got"))
