@@ -68,3 +68,14 @@ def test_errors_are_to_adjudicated_labels(spark):
     got = {r.reviewer_id: r for r in reviewers.collect()}
     assert {k: (r.n_labels, r.mean_error) for k, r in got.items()} == {"right": (8, 0.0), "w1": (8, 1.0), "w2": (8, 1.0), "judge": (0, None)}
     assert got["right"].weight > got["w1"].weight > got["judge"].weight == 0
+
+
+def test_round_limit_is_told(spark, monkeypatch):
+    """Where the rounds end too soon, the findings whose label still changed say so; others don't."""
+    rows = [(f"f{i}", r, "reviewed", *(("yes", "severe") if i % 2 or r == "a" else ("no", "none")), 1) for i in range(6) for r in "abc"]
+    rows += [("g", "a", "reviewed", "yes", "minor", 1), ("g", "b", "reviewed", "no", "none", 1)]
+    findings, _ = consensus.discover(table(spark, rows))
+    assert {r.settled_by for r in findings.collect()} == {"consensus"}
+    monkeypatch.setattr(consensus, "MAX_ROUNDS", 2)
+    findings, _ = consensus.discover(table(spark, rows))
+    assert {r.settled_by for r in findings.collect()} <= {"consensus", "last round"} and findings.count() == 7

@@ -5,7 +5,7 @@ weighted distance to all its observations; a reviewer's weight is the reciprocal
 of an upper confidence bound on the reviewer's error variance, that is the
 chi-squared quantile chi2(ALPHA / 2, n) over the summed distances of the
 reviewer's n labels to the settled ones. The bound is wide for the long tail of
-reviewers with few labels. Both steps alternate until hardly a label changes.
+reviewers with few labels. Both steps alternate until no label changes.
 SMOOTHING adds an error share to every reviewer, for without it the weight of
 one reviewer who always agrees grows until it settles everything alone.
 
@@ -47,9 +47,8 @@ DISTANCE = ((0.0, 1.0, 1.0, 1.0, 1.0), (1.0, 0.0, 0.5, 1.0, 0.0), (1.0, 0.5, 0.0
 PRESENT = 4
 ALPHA = 0.05
 SMOOTHING = 0.1
-MAX_ROUNDS = 20
-#: Rounds end when at most this share of the findings changes its label.
-SETTLED = 0.0005
+#: Rounds end when no label changes; findings that still change after this many are told apart in settled_by.
+MAX_ROUNDS = 50
 
 
 def label(presence: Column, severity: Column) -> Column:
@@ -134,7 +133,8 @@ def _weights(labels: DataFrame, truth: DataFrame) -> DataFrame:
 def discover(observations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(findings, reviewers).
 
-    findings: fish_instance_id, finding_id, presence, severity, agreement (weighted share of the labels' nearness), n_labels, settled_by.
+    findings: fish_instance_id, finding_id, presence, severity, agreement (weighted share of the labels' nearness), n_labels, settled_by
+    (adjudication, consensus, or last round where MAX_ROUNDS ended before the label stood still).
     reviewers: reviewer_id, n_labels, mean_error, weight.
     """
     all_votes = votes(observations).repartition(*FINDING)
@@ -143,19 +143,20 @@ def discover(observations: DataFrame) -> tuple[DataFrame, DataFrame]:
     free = labels.where("not settles")
     fixed = labels.where("settles").groupBy(*FINDING).agg(F.max_by("label", F.struct("at", "reviewer_id")).alias("fixed"))
     fixed = cut(fixed)
-    weights, truth = None, None
+    weights, truth, moving = None, None, None
     for _ in range(MAX_ROUNDS):
         weighted = free.withColumn("weight", F.lit(1.0)) if weights is None else free.join(weights.select("reviewer_id", "weight"), "reviewer_id")
         now = cut(_settle(weighted))
         known = now.join(fixed, list(FINDING), "left").select(*FINDING, F.coalesce("fixed", "truth").alias("truth"))
         weights = cut(_weights(free, known))
         if truth is not None:
-            changed, total = now.join(truth.select(*FINDING, F.col("truth").alias("was")), list(FINDING)).agg(F.count_if(F.col("truth") != F.col("was")), F.count("*")).first()
-            if changed <= SETTLED * total:
-                truth = now
+            moving = now.join(truth.select(*FINDING, F.col("truth").alias("was")), list(FINDING)).where("truth <> was").select(*FINDING, F.lit(True).alias("moves"))
+            if moving.isEmpty():
+                moving = None
                 break
         truth = now
     settled = truth.join(fixed, list(FINDING), "full").withColumn("final", F.coalesce("fixed", "truth"))
+    settled = settled.withColumn("moves", F.lit(False)) if moving is None else settled.join(moving, list(FINDING), "left")
     everything = voted.select(*FINDING).distinct().join(settled, list(FINDING), "left")
     names = F.array(*map(F.lit, LABELS), F.lit("unknown"))
     findings = everything.select(
@@ -164,7 +165,7 @@ def discover(observations: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(F.col("final") > 0, F.element_at(names, F.col("final") + 1)).alias("severity"),
         F.col("agreement"),
         F.coalesce("n_labels", F.lit(0)).alias("n_labels"),
-        F.when(F.col("fixed").isNotNull(), "adjudication").when(F.col("truth").isNotNull(), "consensus").alias("settled_by"),
+        F.when(F.col("fixed").isNotNull(), "adjudication").when(F.col("moves"), "last round").when(F.col("truth").isNotNull(), "consensus").alias("settled_by"),
     )
     reviewers = voted.select("reviewer_id").distinct().join(weights, "reviewer_id", "left")
     reviewers = reviewers.select("reviewer_id", F.coalesce(F.col("n").cast("long"), F.lit(0)).alias("n_labels"), (F.col("errors") / F.col("n")).alias("mean_error"), F.coalesce("weight", F.lit(0.0)).alias("weight"))
