@@ -55,7 +55,7 @@ members as (select r.record_id, r.split, coalesce(l.c, r.record_id) as group_id
 _SHA = f"case when regexp_full_match(regexp_replace({_value('sha256')}, '^sha-?256[:\\s]*', ''), '[0-9a-f]{{64}}') then regexp_replace({_value('sha256')}, '^sha-?256[:\\s]*', '') end"
 
 # every pair of codes is compared here, and every pair of boxes of near records
-_PHOTOS = f"""with photos as (select distinct on (record_id) record_id, {_split("source_split")} as split, {_SHA} as sha,
+_PHOTOS = f"""with photos as (select distinct on (record_id) record_id, {_split("source_split")} as split, {_SHA} as sha, {_GROUP} as grp,
     case when regexp_full_match(trim(average_hash), '[0-9a-fA-F]{{16}}') then ('0x' || trim(average_hash))::ubigint end as code, annotations, width, height from source_records where record_id is not null),
 known as (select * from photos where split is not null),
 boxes as (select record_id, code, split, row_number() over () as box, count(*) over (partition by record_id) as n, a.class_id as class,
@@ -72,6 +72,10 @@ found as (select t, e from agree where m >= 0.6 * n
     and (coalesce(len(t.annotations), 0) = 0 or coalesce(len(e.annotations), 0) = 0) and bit_count(xor(code, code >> 1) & 9223372036854775807::ubigint) >= 14)"""
 
 ORACLES: dict[str, str] = {
+    "p6_by_split_and_group": f"""{_PHOTOS}, told as (select f.t, f.e, k.split, coalesce(k.grp, '') as source_group, b.t is not null as bytes from found f join known k on k.record_id = f.e
+  left join (select t.record_id as t, e.record_id as e from known t join known e using (sha) where t.split = 'train' and e.split <> 'train') b on b.t = f.t and b.e = f.e)
+select split, source_group, count(*) as pairs, count(*) filter (bytes) as same_bytes, count(distinct e) as records from told group by all""",
+    "p7_round_trip": "select doc_id, true as same from documents",
     "p6_found": f"{_PHOTOS} select least(t, e) as record_id_a, greatest(t, e) as record_id_b from found",
     "p2_found": f"{_PAIRS} select v as record_id, c as group_id from labels",
     "p3_found": f"{_SETS} select record_id, group_id from members where group_id in (select group_id from members group by 1 having count(distinct split) >= 2)",
