@@ -322,3 +322,18 @@ def test_detections(spark):
     assert got == {0: 1.0, 1: 1.0, 2: 0.0}
     frames = spark.createDataFrame([(1, 1, "a"), (1, 2, None), (1, 3, "b"), (1, 4, "b")], "fish int, frame int, track string")
     assert tuple(detections.track_quality(frames, ["fish"], "frame", "track").first())[1:] == (4, 2, 1, 1)
+
+
+def test_object_confusion(spark):
+    """One right box, one of the wrong class, a second detection of the first, a missed one and one on nothing."""
+    from tidewright.operators import detections
+
+    box = "struct<x0:double,y0:double,x1:double,y1:double>"
+    schema = f"picture string, truth array<struct<class:int,box:{box}>>, found array<struct<class:int,box:{box},score:double>>"
+    a, b, c, nothing = (0.0, 0.0, 10.0, 10.0), (20.0, 0.0, 30.0, 10.0), (40.0, 0.0, 50.0, 10.0), (90.0, 90.0, 95.0, 95.0)
+    rows = [("p", [(1, a), (2, b), (3, c)], [(1, a, 0.9), (1, (1.0, 0.0, 11.0, 10.0), 0.8), (5, b, 0.7), (4, nothing, 0.6)]), ("q", [], []), ("r", None, None), ("s", [(1, a)], [])]
+    matched = detections.objects(spark.createDataFrame(rows, schema))
+    assert sorted(tuple(r)[1:] for r in matched.collect()) == sorted([("1", "1", False), ("background", "1", True), ("2", "5", False), ("background", "4", False), ("3", "background", False), ("1", "background", False)])
+    got = detections.summary(matched).first()
+    assert (got.presented, got.detected, got.right_class, got.false_positives, got.duplicates, got.found) == (4, 2, 1, 1, 1, 4)
+    assert got.detection_rate == pytest.approx(0.5) and got.duplicate_rate == pytest.approx(0.25)

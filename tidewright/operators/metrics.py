@@ -96,8 +96,29 @@ def cluster_bootstrap(clusters: DataFrame, hits: str, n: str, replicates: int) -
     minus 1. A draw's cluster comes from a multiplicative generator on
     (replicate, draw), so any engine gives the same draws.
     """
-    spark = clusters.sparkSession
-    k = clusters.count()
-    draws = spark.range(replicates * k).select(F.expr(f"id div {k}").alias("rep"), F.expr(f"(((id div {k}) * 48271 + (id % {k}) * 69621 + ((id * id) % 1000003)) * 16807 % 2147483647) % {k}").alias("idx"))
+    draws = _draws(clusters, replicates)
     per = draws.join(clusters, "idx").groupBy("rep").agg((F.sum(hits) / F.sum(n)).alias("value"))
     return per.agg(F.percentile("value", F.lit(0.025)).alias("low"), F.percentile("value", F.lit(0.975)).alias("high"))
+
+
+def _draws(clusters: DataFrame, replicates: int) -> DataFrame:
+    """(rep, idx): as many clusters per replicate as there are, drawn with replacement."""
+    k = clusters.select("idx").distinct().count()
+    return clusters.sparkSession.range(replicates * k).select(F.expr(f"id div {k}").alias("rep"), F.expr(f"(((id div {k}) * 48271 + (id % {k}) * 69621 + ((id * id) % 1000003)) * 16807 % 2147483647) % {k}").alias("idx"))
+
+
+def paired_macro_f1(clusters: DataFrame, replicates: int) -> DataFrame:
+    """(first, second, delta, low, high): macro F1 of two predictors of the same rows, the difference and its 95 % interval.
+
+    ``clusters`` has one row per cluster (idx from 0 on) and class: true_n, and
+    for either predictor said_a, hits_a, said_b, hits_b. Both predictors see the
+    same draws. A class counts where a draw has true rows of it.
+    """
+    sums = [F.sum(c).alias(c) for c in ("true_n", "said_a", "hits_a", "said_b", "hits_b")]
+    f1 = lambda p: F.coalesce(F.try_divide(2 * F.col(f"hits_{p}"), F.col(f"said_{p}") + F.col("true_n")), F.lit(0.0))
+    macro = lambda df, *keys: df.where("true_n > 0").groupBy(*keys).agg(F.avg(f1("a")).alias("first"), F.avg(f1("b")).alias("second"))
+    point = macro(clusters.groupBy("class").agg(*sums))
+    drawn = macro(_draws(clusters, replicates).join(clusters, "idx").groupBy("rep", "class").agg(*sums), "rep")
+    delta = F.col("second") - F.col("first")
+    interval = drawn.agg(F.percentile(delta, F.lit(0.025)).alias("low"), F.percentile(delta, F.lit(0.975)).alias("high"))  # one value per replicate
+    return point.select("first", "second", delta.alias("delta"), F.lit(1).alias("one")).join(interval.withColumn("one", F.lit(1)), "one").drop("one")  # one row each

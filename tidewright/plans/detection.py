@@ -11,8 +11,8 @@ from tidewright.operators import detections
 from tidewright.plans.dashboard import read
 
 
-def detection_precision(spark: SparkSession, d: str) -> DataFrame:
-    """Average precision per class when boxes are shifted by a share of their size that depends on the picture."""
+def _shifted(spark: SparkSession, d: str) -> DataFrame:
+    """Pictures with their annotated boxes, and as detections the same boxes shifted by a share of their size that depends on the picture."""
     rows = read(spark, d, "source_records").dropDuplicates(["record_id"]).where("size(annotations) > 0")
     shift = (F.col("record_id") % 11) / 20.0
 
@@ -23,8 +23,21 @@ def detection_precision(spark: SparkSession, d: str) -> DataFrame:
         return F.struct(a["class_id"].alias("class"), moved.alias("box"), (1 - shift - i * 0.001).alias("score"))
 
     truth = F.transform("annotations", lambda a: F.struct(a["class_id"].alias("class"), geometry.box_of(a["points"]).alias("box")))
-    pictures = rows.select(F.col("record_id").cast("string").alias("picture"), truth.alias("truth"), F.transform("annotations", found).alias("found"))
-    return detections.average_precision(pictures).withColumn("ap", F.round("ap", 6))
+    return rows.select(F.col("record_id").cast("string").alias("picture"), truth.alias("truth"), F.transform("annotations", found).alias("found"))
+
+
+def detection_precision(spark: SparkSession, d: str) -> DataFrame:
+    """Average precision per class at ten thresholds."""
+    return detections.average_precision(_shifted(spark, d)).withColumn("ap", F.round("ap", 6))
+
+
+def object_confusion(spark: SparkSession, d: str) -> DataFrame:
+    """Confusion of matched boxes' classes, with background for what was missed or is not there."""
+    return detections.objects(_shifted(spark, d)).groupBy("truth", "predicted").agg(F.count("*").alias("n"), F.count_if("duplicate").alias("duplicates"))
+
+
+def detection_summary(spark: SparkSession, d: str) -> DataFrame:
+    return detections.summary(detections.objects(_shifted(spark, d)))
 
 
 def grade_track_quality(spark: SparkSession, d: str) -> DataFrame:
@@ -51,7 +64,7 @@ def tile_counts(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("width", "height", F.size(names.tiles(F.col("width"), F.col("height"), 640, 64)).alias("tiles"))
 
 
-QUERIES = {f.__name__: f for f in (detection_precision, grade_track_quality, origin_names, class_count_cells, tile_counts)}
+QUERIES = {f.__name__: f for f in (detection_precision, object_confusion, detection_summary, grade_track_quality, origin_names, class_count_cells, tile_counts)}
 
 _G = r"""case regexp_replace(regexp_replace(lower(regexp_replace(provisional_grade, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), '[\s_\-]+', '', 'g'), '^(class|grade)', '')
   when 'a' then 'Class A' when 'b' then 'Class B' when 'c' then 'Class C' when 'rejected' then 'Rejected' when 'reject' then 'Rejected' end"""

@@ -111,6 +111,18 @@ def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
     return metrics.cluster_bootstrap(clusters, "hits", "n", 200).select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
+def paired_f1_interval(spark: SparkSession, d: str) -> DataFrame:
+    """Macro F1 of the frames' vote and of the inspection's second grade against its final one: difference and interval over sessions, 200 draws."""
+    last = latest_inspections(spark, d, "final_grade", "second_grade")
+    votes = vote_of_frames(spark, d).select("session_id", F.col("fish_id").alias("track_id"), "grade")
+    t = last.join(votes, ["session_id", "track_id"]).select("session_id", F.nullif("final_grade", F.lit("Ungraded")).alias("truth"), F.col("grade").alias("a"), F.col("second_grade").alias("b")).where("truth is not null")
+    each = t.select("session_id", F.explode(F.array_distinct(F.array("truth", "a", "b"))).alias("class"), "truth", "a", "b").where("class is not null")
+    is_ = lambda c: F.coalesce(F.col(c) == F.col("class"), F.lit(False))
+    per = each.groupBy("session_id", "class").agg(F.count_if(is_("truth")).alias("true_n"), *(f(p) for p in "ab" for f in (lambda p: F.count_if(is_(p)).alias(f"said_{p}"), lambda p: F.count_if(is_(p) & is_("truth")).alias(f"hits_{p}"))))
+    number = F.dense_rank().over(Window.orderBy("session_id")) - 1  # a few rows per session, a table that does not grow
+    return metrics.paired_macro_f1(per.withColumn("idx", number), 200).select(*(F.round(c, 6).alias(c) for c in ("first", "second", "delta", "low", "high")))
+
+
 def review_conflicts(spark: SparkSession, d: str) -> DataFrame:
     """Findings by whether reviewers agree on presence and how many adjudications they have."""
     rows = read(spark, d, "belly_observations").select("fish_instance_id", "finding_id", value_or_null(F.col("presence")).alias("p"), (squeezed(F.col("review_status")) == "adjudicated").alias("adj"))
@@ -143,7 +155,7 @@ def feature_model(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        feature_model, confusion_matrix, precision_recall_f1, threshold_sweep, best_threshold, cohens_kappa, weighted_kappa, counting_error, average_precision, average_precision_area, bootstrap_interval, review_conflicts, weighted_support,
+        feature_model, confusion_matrix, precision_recall_f1, threshold_sweep, best_threshold, cohens_kappa, weighted_kappa, counting_error, average_precision, average_precision_area, bootstrap_interval, paired_f1_interval, review_conflicts, weighted_support,
     )
 }
 
@@ -186,6 +198,14 @@ ORACLES = {
     "bootstrap_interval": f"""with {_TRUTH}, c as (select row_number() over (order by session_id) - 1 as idx, hits, n from (select session_id, count(*) filter (truth = predicted) as hits, count(*) as n from t where truth is not null group by 1)), k as (select count(*) as k from c),
         draws as (select id // k as rep, (((id // k) * 48271 + (id % k) * 69621 + ((id * id) % 1000003)) * 16807 % 2147483647) % k as idx from k, range(0, 200 * k) r(id)), per as (select rep, sum(hits) / sum(n) as v from draws join c using (idx) group by rep)
         select round(quantile_cont(v, 0.025), 6) as low, round(quantile_cont(v, 0.975), 6) as high from per""",
+    "paired_f1_interval": f"""with {_TRUTH}, u as (select l.session_id, nullif(l.final_grade, 'Ungraded') as truth, v.grade as a, l.second_grade as b from last l join votes v using (session_id, track_id)), g as (select * from u where truth is not null),
+        x as (select session_id, unnest(list_distinct([truth, a, b])) as class, truth, a, b from g),
+        per as (select session_id, class, count(*) filter (truth = class) as n, count(*) filter (a = class) as sa, count(*) filter (a = class and truth = class) as ha, count(*) filter (b = class) as sb, count(*) filter (b = class and truth = class) as hb from x where class is not null group by all),
+        c as (select *, dense_rank() over (order by session_id) - 1 as idx from per), k as (select count(distinct idx) as k from c),
+        draws as (select id // k as rep, (((id // k) * 48271 + (id % k) * 69621 + ((id * id) % 1000003)) * 16807 % 2147483647) % k as idx from k, range(0, 200 * k) r(id)),
+        s as (select rep, class, sum(n) as n, sum(sa) as sa, sum(ha) as ha, sum(sb) as sb, sum(hb) as hb from draws join c using (idx) group by all), d as (select rep, avg(2 * hb / (sb + n)) - avg(2 * ha / (sa + n)) as v from s where n > 0 group by rep),
+        p as (select avg(2 * ha / (sa + n)) as f, avg(2 * hb / (sb + n)) as s from (select class, sum(n) as n, sum(sa) as sa, sum(ha) as ha, sum(sb) as sb, sum(hb) as hb from c group by class) where n > 0)
+        select round(f, 6) as first, round(s, 6) as second, round(s - f, 6) as delta, (select round(quantile_cont(v, 0.025), 6) from d) as low, (select round(quantile_cont(v, 0.975), 6) from d) as high from p""",
     "review_conflicts": f"""select labels > 1 as conflict, least(adj, 2)::bigint as adjudications, count(*) as findings from (select fish_instance_id, finding_id, count(distinct case when {_SQ("presence")} not in ('', 'unknown', 'unassigned', 'none', 'n/a', 'tbd', '?', 'null') then {_SQ("presence")}[1:1] end) as labels,
         count(*) filter ({_SQ("review_status")} = 'adjudicated') as adj from belly_observations group by 1, 2) group by all""",
     "weighted_support": f"""with r as (select session_id, fish_id, case {_G} when 'Class A' then 0 when 'Class B' then 1 when 'Class C' then 2 when 'Rejected' then 3 end as g, round(detection_confidence * 1000)::bigint as c from frame_grades),
