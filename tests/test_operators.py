@@ -337,3 +337,46 @@ def test_object_confusion(spark):
     got = detections.summary(matched).first()
     assert (got.presented, got.detected, got.right_class, got.false_positives, got.duplicates, got.found) == (4, 2, 1, 1, 1, 4)
     assert got.detection_rate == pytest.approx(0.5) and got.duplicate_rate == pytest.approx(0.25)
+
+
+def test_followed_boxes(spark):
+    """Boxes that move keep their track, crossing batches and streams; one that stays away too long gets a new track."""
+    from tidewright.operators import tracks
+
+    schema = "stream string, frame int, ordinal int, x0 double, y0 double, x1 double, y1 double"
+    rows = [("a", f, 0, f * 2.0, 0.0, f * 2.0 + 10, 10.0) for f in range(6)] + [("a", f, 1, 50.0, 50.0, 60.0, 60.0) for f in (0, 1, 5)] + [("b", 0, 0, 0.0, 0.0, 10.0, 10.0), (None, 0, 0, 0.0, 0.0, 1.0, 1.0), ("b", 1, 0, None, 0.0, 1.0, 1.0)]
+    got = lambda patience: {(r.stream, r.frame, r.ordinal): r.track for r in tracks.follow(spark.createDataFrame(rows, schema), patience=patience).collect()}
+    long, short = got(3), got(2)
+    assert [long["a", f, 0] for f in range(6)] == [1] * 6 and [long["a", f, 1] for f in (0, 1, 5)] == [2, 2, 2]
+    assert [short["a", f, 1] for f in (0, 1, 5)] == [2, 2, 3] and long["b", 0, 0] == 1 and len(long) == 10
+    assert tracks.follow(spark.createDataFrame([], schema)).count() == 0
+    follower = tracks.Follower(0.3, 30)
+    assert follower.frame([(0, 0, 10, 10), (1, 0, 11, 10)]) == [1, 2] and follower.frame([(1, 0, 11, 10), (1, 0, 11, 10), (1, 0, 11, 10)]) == [2, 1, 3]
+
+
+def test_small_forms(spark):
+    import numpy as np
+
+    from tidewright.functions import geometry, names, numbers, text
+    from tidewright.operators import proposal
+
+    one = lambda c: spark.range(1).select(c.alias("v")).first().v
+    lit = F.lit
+    assert one(names.status_token(lit("Not-Associated (2)!"))) == "notassociated2" and one(names.status_token(lit(None).cast("string"))) == ""
+    assert one(names.source_name(lit(" x "), lit("a.jpg"))) == "x" and one(names.source_name(lit(""), lit("d\\IMG_1.rf.ab12.jpg"))) == "IMG_1"
+    assert one(names.first_folder(lit("A/b/c.jpg"))) == "A" and one(names.first_folder(lit("c.jpg"))) == ""
+    assert one(names.markdown_cell(lit("a|b\nc"))) == "a\\|b c" and one(names.file_token(lit("a b/ü-1"))) == "a_b_ü-1" and one(names.file_token(lit(None).cast("string"))) == "unknown"
+    assert [one(text.class_name(lit(v))) for v in (" Class_A ", "2", "REJECT", "d")] == ["Class A", "Class C", "Rejected", None]
+    assert [one(text.has_zone(lit(v))) for v in ("2031-01-01T10:00:00Z", "2031-01-01T10:00+0800", "2031-01-01T10:00", "2031-01-01")] == [True, True, False, False]
+    square = F.array(*map(lit, (0.0, 0.0, 10.0, 0.0, 10.0, 20.0)))
+    assert one(geometry.scaled_polygon(square, lit(10), lit(20))) == [0, 0, 1, 0, 1, 1] and one(geometry.scaled_polygon(square, lit(9), lit(20))) is None
+    assert one(geometry.scaled_polygon(F.array(*map(lit, (0.0, 0.0, 1.0, 1.0, 2.0, 2.0))), lit(10), lit(20))) is None
+    a, b = np.arange(16.0), np.arange(16.0)[::-1] * 3
+    var = lambda x, y: ((x - x.mean()) * (y - y.mean())).mean()
+    want = (2 * a.mean() * b.mean() + 6.5025) * (2 * var(a, b) + 58.5225) / ((a.mean() ** 2 + b.mean() ** 2 + 6.5025) * (var(a, a) + var(b, b) + 58.5225))
+    arr = lambda x: F.array(*(lit(float(v)) for v in x))
+    assert one(numbers.similarity(arr(a), arr(b))) == pytest.approx(want) and one(numbers.similarity(arr(a), arr(a))) == pytest.approx(1) and one(numbers.similarity(arr(a), arr(b[:3]))) is None
+    assert proposal.ratios_of("train=0.7, VAL=0.15,test=0.15") == {"train": 0.7, "validation": 0.15, "test": 0.15}
+    for bad in ("train=0.7,test=0.3", "train=1", "train=0.5,dev=0.2,test=0.3", "train=0.7,validation=-0.1,test=0.4", "train"):
+        with pytest.raises(ValueError):
+            proposal.ratios_of(bad)

@@ -66,3 +66,12 @@ def principal_angle(x: Column, y: Column) -> Column:
 
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
+
+
+def scaled_polygon(points: Column, width: Column, height: Column) -> Column:
+    """The points as shares of the picture's width and height, or null for what is no polygon inside the picture:
+    an odd number of values or fewer than three different points, values that are no numbers, no area, points outside."""
+    x, y = F.filter(points, lambda _, i: i % 2 == 0), F.filter(points, lambda _, i: i % 2 == 1)
+    inside = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (v >= 0) & (v <= width)) & F.forall(y, lambda v: v.isNotNull() & ~F.isnan(v) & (v >= 0) & (v <= height))
+    sound = (width > 0) & (height > 0) & (F.size(points) >= 6) & (F.size(points) % 2 == 0) & inside & (F.size(F.array_distinct(F.arrays_zip(x, y))) >= 3)
+    return F.when(sound & (polygon_area(points) > 1e-9), F.transform(points, lambda v, i: v / F.when(i % 2 == 0, width).otherwise(height)))

@@ -49,3 +49,31 @@ def tiles(width: Column, height: Column, size: int, overlap: int) -> Column:
 
     box = lambda x, y: F.struct(x.alias("x0"), y.alias("y0"), F.least(x + size, width).alias("x1"), F.least(y + size, height).alias("y1"))
     return F.flatten(F.transform(starts(height), lambda y: F.transform(starts(width), lambda x: box(x, y))))
+
+
+def status_token(c: Column) -> Column:
+    """Letters, digits and underscores of a text, in lower case; '' for null."""
+    return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}_]", "")
+
+
+def source_name(noted: Column, path: Column) -> Column:
+    """The picture's name before augmentation: the noted one, else the file's without ending and the export's hash."""
+    base = F.substring_index(F.replace(F.coalesce(path, F.lit("")), F.lit("\\"), F.lit("/")), "/", -1)
+    stem = F.regexp_replace(F.regexp_replace(base, r"(?<=.)\.[^.]*$", ""), r"\.rf\.[0-9A-Za-z]+$", "")
+    return F.coalesce(F.nullif(F.trim(noted), F.lit("")), stem)
+
+
+def first_folder(path: Column) -> Column:
+    """The first part of a relative path of several parts, else ''."""
+    parts = F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda p: (p != "") & (p != "."))
+    return F.when(F.size(parts) > 1, parts[0]).otherwise("")
+
+
+def markdown_cell(c: Column) -> Column:
+    """A text that is safe inside a cell of a Markdown table."""
+    return F.replace(F.replace(c, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+
+
+def file_token(c: Column) -> Column:
+    """A text as part of a file name: what is no letter, digit, dash or underscore becomes one; 'unknown' for null."""
+    return F.regexp_replace(F.coalesce(c, F.lit("unknown")), r"[^\p{L}\p{N}\-_]", "_")

@@ -52,3 +52,17 @@ def f1_or_null(precision: Column, recall: Column) -> Column:
 
 def f1_or_zero(precision: Column, recall: Column) -> Column:
     return F.coalesce(f1_or_null(precision, recall), F.lit(0.0))
+
+
+def similarity(a: Column, b: Column, top: float = 255.0) -> Column:
+    """Structural similarity of two equally long arrays of grey values, over all of them at once; null for other lengths.
+
+    The two constants are the usual shares 0.01 and 0.03 of the greatest value, squared.
+    """
+    add = lambda acc, v: acc + v
+    mean = lambda x: F.aggregate(x, F.lit(0.0), add) / F.size(x)
+    ma, mb = mean(a), mean(b)
+    moment = lambda x, y, mx, my: mean(F.zip_with(x, y, lambda p, q: (p - mx) * (q - my)))
+    light, contrast = (0.01 * top) ** 2, (0.03 * top) ** 2
+    value = (2 * ma * mb + light) * (2 * moment(a, b, ma, mb) + contrast) / ((ma * ma + mb * mb + light) * (moment(a, a, ma, ma) + moment(b, b, mb, mb) + contrast))
+    return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), F.greatest(F.least(value, F.lit(1.0)), F.lit(-1.0)))

@@ -70,3 +70,18 @@ def instant(c: Column) -> Column:
     s = F.trim(c)
     zoned = F.when(s.rlike(r"(?i)(z|[+-]\d{2}:?\d{2})$") & s.contains(":"), s).otherwise(F.concat(s, F.lit("Z")))
     return zoned.try_cast("timestamp")
+
+
+# Spellings of the classes in feature tables, by letter, name or number.
+CLASS_SPELLINGS = {"Class A": ("a", "class a", "0"), "Class B": ("b", "class b", "1"), "Class C": ("c", "class c", "2"), "Rejected": ("rejected", "reject", "3")}
+
+
+def class_name(c: Column) -> Column:
+    """One of GRADES by its spelling in feature tables, else null."""
+    s = F.translate(squeezed(c), "_-", "  ")
+    return F.coalesce(*(F.when(s.isin(*spellings), name) for name, spellings in CLASS_SPELLINGS.items()))
+
+
+def has_zone(c: Column) -> Column:
+    """Whether an ISO-8601 text names its offset; a time without one is no instant."""
+    return F.coalesce(F.trim(c).rlike(r"(?i)\d[T ]\d.*(z|[+-]\d{2}:?\d{2})$"), F.lit(False))

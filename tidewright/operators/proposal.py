@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.sources.manifests import SPLITS
+
 
 def propose(rows: DataFrame, group: str, ratios: dict[str, float], seed: int = 11, ranges: int = 1024) -> DataFrame:
     """(group, rows, split): groups in the order of a hash fill the splits one after another.
@@ -42,3 +44,19 @@ def problems(rows: DataFrame, split: str, isolated: list[str], label: str, label
     unset = rows.where(F.col(split).isNull()).agg(F.count("*").alias("n")).where("n > 0").select(F.lit("without_split").alias("kind"), F.col("n").cast("string").alias("value"), F.lit(None).cast("string").alias("split"))
     out = missing.unionByName(unset)
     return out if crossing is None else out.unionByName(crossing)
+
+
+def ratios_of(text: str) -> dict[str, float]:
+    """'train=0.7,validation=0.15,test=0.15' as shares; every split once, positive, and together 1."""
+    out: dict[str, float] = {}
+    for item in text.split(","):
+        name, equals, number = (p.strip() for p in item.partition("="))
+        split = next((s for s, spellings in SPLITS.items() if name.lower() in spellings), None)
+        if not equals or split is None or split in out:
+            raise ValueError(f"no share of a split, or a second one: {item!r}")
+        out[split] = float(number)
+        if not out[split] > 0:
+            raise ValueError(f"a share must be positive: {item!r}")
+    if set(out) != set(SPLITS) or abs(sum(out.values()) - 1) > 1e-9:
+        raise ValueError("shares must name train, validation and test and add up to 1")
+    return out
