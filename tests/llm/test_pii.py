@@ -159,3 +159,18 @@ def test_statistics_cover_all_documents(spark, texts, monkeypatch):
         assert any(k == "name" and "uimbrath" in text[a:b] for k, a, b in pii_spans.candidates(text, frozenset(model["lexicon"])))
     assert ("name", 8, 19) in pii_spans.candidates("seen by O. Magtanum today", frozenset())
     assert ("name", "zorvelda quimbrath") in {(k, "Dear zorvelda quimbrath, thanks."[a:b]) for a, b, k in pii.scan("Dear zorvelda quimbrath, thanks.", model)}
+
+
+def test_positions_are_no_phones():
+    """A latitude and a longitude look like short phone numbers; the trees never see them, whatever they have learnt."""
+    kept = lambda t: [t[a:b] for k, a, b in pii_spans.candidates(t, frozenset()) if pii._flags(t, k, a, b) < 4]
+    assert kept("Anchored at 8.9691, 110.6860, no wind.") == kept("12.3456; 110.12345") == kept("110.6860 / 8.9691") == kept("1.234, 2.345, 110.6789") == []
+    assert set(kept("Call 555.0199, 555.0198 or 415.555.0133, 8.555")) == {"555.0199", "555.0198", "415.555.0133"}  # no degrees
+    assert "030.1234" in kept("030.1234, 4.12345")  # no decimal fraction begins so
+
+
+def test_teacher_knows_decimals():
+    """Without any document, decimal fractions in new phrasings aren't phones, and a dotted local number is."""
+    scorer = pii.Scorer(pii.teach([], pii.Evidence([], [], set()), pii_rows.rows(5000)))
+    texts = ["Anchored at 8.9691, 110.6860, no wind.", "The buoy drifted to longitude 110.6860 overnight.", "Final loss 127.4410 after two epochs.", "Please call 555.0199 before noon."]
+    assert [[t[a:b] for a, b, _ in of] for t, of in zip(texts, pii.scan_all(texts, scorer))] == [[], [], [], ["555.0199"]]

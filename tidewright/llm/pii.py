@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from tidewright.llm import pii_rows
 from tidewright.llm.boosting import Boosted
-from tidewright.llm.pii_spans import CUE_NAMES, CUE_OF, KINDS, candidates, digits_of, free_word, is_date, word
+from tidewright.llm.pii_spans import CUE_NAMES, CUE_OF, KINDS, candidates, digits_of, free_word, is_date, is_position, word
 from tidewright.session import cut, spread
 
 SAMPLE = 4000
@@ -253,11 +253,12 @@ def _name_words(span: str) -> list[str]:
     return [unicodedata.normalize("NFC", w.lower()) for w in word.findall(span) if len(w) > 1]
 
 
-def _flags(kind: str, span: str) -> int:
-    """What a span's digits may say beyond being digits."""
+def _flags(text: str, kind: str, a: int, b: int) -> int:
+    """What a span's digits may say beyond being digits; from 4, that it is a date or part of a position and no candidate."""
     if kind not in _NUMERIC:
         return 0
-    return 4 if is_date(span) else 2 * span.startswith("00") + span.lstrip("+＋(（").startswith("0")
+    span = text[a:b]
+    return 4 if is_date(span) or ("." in span and is_position(text, a, b)) else 2 * span.startswith("00") + span.lstrip("+＋(（").startswith("0")
 
 
 def _meets(intervals: Iterable[tuple[int, int]]) -> Callable[[int, int], bool]:
@@ -305,7 +306,7 @@ class Scorer:
             spans = self.spans[same] = candidates(same, self.known)
         if not spans:
             return None
-        flags = bytes([_flags(k, part[a:b]) for k, a, b in spans])
+        flags = bytes([_flags(part, *span) for span in spans])
         return (same, flags), [s for s, f in zip(spans, flags) if f < 4]
 
     def margins(self, todo: list[tuple[Sentence, list[tuple[str, int, int]]]]) -> list[list[float]]:
@@ -396,7 +397,7 @@ def _shares(no: dict[str, int], yes: dict[str, int]) -> dict[str, float]:
 
 def _generated(rows: list[tuple[str, set[tuple[str, int, int]]]], known: frozenset[str]) -> Iterator[tuple[Sentence, list[tuple[str, int, int, int]]]]:
     for text, true in rows:
-        s, spans = Sentence(text), [c for c in candidates(text, known) if _flags(c[0], text[c[1] : c[2]]) < 4]
+        s, spans = Sentence(text), [c for c in candidates(text, known) if _flags(text, *c) < 4]
         s.nested(spans)
         yield s, [(*c, int(c in true)) for c in spans]
 
@@ -437,7 +438,7 @@ def teach(texts: list[str], evidence: Evidence, rows: list | None = None) -> dic
             if (same := part.translate(_NINES)) in seen or len(part) < 5:
                 continue
             seen.add(same)
-            s, found = Sentence(part), candidates(part, known)
+            s, found = Sentence(part), [c for c in candidates(part, known) if _flags(part, *c) < 4]
             s.nested(found)
             marked = [(c, evidence.label(s, *c)) for c in found]
             covered = _meets(c[1:] for c, label in marked if label == 1)

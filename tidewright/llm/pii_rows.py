@@ -4,7 +4,8 @@ FORMS are phrasings of notes, mails and forms in English, Spanish, German and
 Filipino. ``(a|b)`` is a choice, ``{N}`` a name, ``{E}`` a mail address, ``{P}``
 a phone number, ``{I}`` an identity number, ``{A}`` a street address; the other
 slots are no personal data: ``{T}`` a thing's number, ``{V}`` a vessel, ``{L}`` a
-place, ``{F}`` a firm, ``{D}`` a date, ``{C}`` a clock time, ``{K}`` a quantity.
+place, ``{F}`` a firm, ``{D}`` a date, ``{C}`` a clock time, ``{K}`` a quantity, ``{G}`` a
+decimal fraction.
 All values are made of syllables and formats, so none is taken from a table.
 """
 
@@ -36,6 +37,8 @@ FORMS = (
     "(Si|Kay|Ni) {N} (ang nagbilang|ang nagsara|ang naglinis|ang pumirma) (ng kahon|sa pinto|nang {C}).", "(Nilagdaan|Binilang|Tinimbang|Isinulat|Ipinadala) ni {N}( noong {D}|.)", "(Kausapin|Tanungin|Sabihan|Tawagin) si {N} (bukas|mamaya|bago umalis).", "(Mahal na|Kumusta,) {N},", "(Ginoong|Ginang|G\\.|Gng\\.|Aling|Mang) {N} (ay umalis|ay dumating)( nang {C}|).", "(Pangalan|Tsuper|Bisita|Mamimili): {N}(.|;|,|)", "(Telepono|Selpon|Tel\\.)(:|) {P}(.|,|;)", "(Tumawag|I-text|Tumawag kayo) sa {P} (bago|kung) (tanghali|may kulang).", "(Sumulat|Ipadala|Mag-email) sa {E}(.| o {P}.)", "(Pasaporte|PhilSys|SSS|TIN|UMID|Seaman's book|Kard ng pagkakakilanlan)(:| no\\.|) {I}(.|,|; may-ari {N})", "(Nakatira|Nagtatrabaho) (siya|si {N}) sa {A}(.|, {L}.)", "(Ihatid|Dalhin|Ipadala) ang (kahon|sulat|susi) sa {A}(.|, {L}.)", "(Tirahan|Direksyon): {A}(.|, {L}|;)", "Ayon kay {N}, (ayos|sarado) na ang (pinto|timbangan).",
     # hard negatives
     "(Lot|Batch|Pallet|Crate|Ticket|Specimen|Serial|Sample|Device|Order|Invoice|Container|Scale|Barcode|Part|Asset|Sensor|Meter|Job|Tag)( no\\.| number| #|) {T} (was|is) (moved|opened|late|logged|scrapped)( at {C}| on {D}|).", "(See|Closed|Opened|Related|Duplicate) (ticket|order|lot|crate|serial|batch|sample) {T}(.|,|;| and {T}.)", "The (scale|sensor|camera|printer|dryer) (with |)(serial |S/N |SN |model )(number |){T} (failed|works).", "(Readings|Counters|Serials|Lots|Values) {T} and {T} (belong|refer) to the (old|new) (dryer|line).", "{T};{T};{K};{D}", "{K} from (lot|batch|pallet) {T} (went|came) to {L}.", "(lot|sku|serial|ticket|batch|device)(=|: |:){T}(;|,|)", '"(lot|serial|ticket|device_id|sku|order)": "{T}"', "(The |){V} (landed|unloaded|brought|reported) {K}( at {L}| on {D}|).", "{K} from (the |){V} (was|were) (late|wet|small|rejected).", "(The crew of |Catch of |On board ){V} (was|is) (paid|checked)( at {L}|).", "The (truck|van|boat) (left|reached|passed) {L}( at {C}| on {D}|).", "{L} (was|is) (closed|wet|cold|full)( until {C}|).", "(Between|From) {L} (and|to) {L} the road (is|was) (closed|icy).", "{F} (sent|billed|sold) {K}.", "(The offer|An invoice) from {F} (is|was) (late|wrong).", "(Row|Rack|Lane|Shelf|Gate|Dock|Line|Bay|Door) 12 (Row|Rack|Lane|Shelf) 7 (was|were) (empty|swept).", "(Both|Two|The) (Models|Cameras|Lines) (Were|Are) (Fine|Slow).", "(First|Second|Last|Third|Next|Another) (Pass|Round|Check|Look|Try)(: |, )(nothing|all) (new|fine).", "(Erster|Letzter|Dritter|Neuer|Nächster) (Versuch|Lauf|Schritt|Termin|Wechsel)(: | )(alles|nichts) (gut|neu).", "(Primera|Última|Nueva) (Ronda|Vuelta|Prueba)(: | )(todo|nada) (bien|nuevo).", "(Daily|Weekly|Final|Quality) (Report|Control|Check|Audit|Summary)( {D}|:|)", "(Monday|Friday) (Morning|Evening|Shift) (Report|Notes|List)", "(Temperature|Humidity|Salt) (rose|fell) to {K} (at {C}|on {D}).", "File cap_{Z}.jpg (was|is) {K}.", "(Version|Release|Build) {Z}\\.2\\.1 (runs|works) since {D}.", "{Z} (times|boxes|trays|steps) (during|near|behind|on) the (pier|hill|wharf|square|quay|long lane|way) (shift|door|gate|round).", "(About|Over|Only) {Z} (fish|pieces|crates) (left|lay on|crossed) the (old|wet|last) (pier|road|way|lane|row) (today|at {C}|again).", "(Nach|In) {Z} (Schritten|Metern|Minuten) (am|zum|über den) (Kai|Platz|Weg) (war|ist) Schluss.", "(Page|Frame|Track|Image|Step) {Z} of {Z}(.|,)", "rig@{Z} (and|or) run@{Z}\\.4 (failed|passed)", "(Charge|Kiste|Palette|Probe|Seriennummer|Gerät|Bestellung|Rechnung|Los|Waage|Behälter)( Nr\\.|) {T} (kam|ging|fehlt|steht)( um {C}| am {D}|).", "(Die|Der) (Charge|Kiste|Probe|Waage|Zähler|Lieferung) {T} (ist|war) (nass|leer|offen).", "(Die {V}|Das Boot {V}|Der Kutter {V}) (brachte|lieferte) {K}( um {C}|).", "(Im|Am) {L} (war|ist) (alles|das Tor) (nass|zu).", "Messwert {Z},{Z} (Grad|Prozent) (bei|nach) {K}.", "(Tägliche|Letzte|Zweite) (Prüfung|Messung|Lieferung) (Ergebnis|Kontrolle|Liste): {K}.", "(Klasse|Gruppe|Linie) (Eins|Zwei|Drei) (Prüfung|Sperre|Ausgang) (war|ist) (fertig|offen).", "(Lote|Caja|Palé|Muestra|Serie|Pedido|Factura|Báscula|Bandeja)( n\\.º|) {T} (llegó|falta|salió)( a las {C}| el {D}|).", "(El|La) (lote|caja|muestra|báscula) {T} (está|estaba) (vacía|mojada|abierta).", "(El {V}|El barco {V}|La lancha {V}) (trajo|descargó) {K}( a las {C}|).", "(En|Cerca de|Desde) {L} (llueve|hay hielo|está cerrado).", "(Ang|Sa) (lote|kahon|sampol|tiket|timbangan) {T} ay (basa|kulang|bukas)( nang {C}| noong {D}|).", "(Ang|Mula sa) {V} ay (nagdala|may) ng {K}.", "Sa {L} ay (umuulan|sarado)( nang {C}|).",
+    # hard negatives, decimal fractions
+    "(Longitude|Easting|Offset|Drift)(:| is|) {G}(,|;) (swell low|no ice|anchor down).", "(lon|lng|x|loss|drift)(=|: |:){G}(;|,|)", '"(lon|lng|easting|loss)": {G}', "The (average|median|total) (drift|loss|torque|flow) (was|is) {G}( at {C}| on {D}|).", "(Längengrad|Mittelwert|Abweichung)( war| ist|:|) {G}(.|, {C}.|)", "(Longitud|Media|Desvío)( era| es|:|) {G}(.|, {C}.|)", "(Longhitud|Kabuuan)(:| ay) {G}(.|,)",
 )
 
 # Parts of invented words.
@@ -81,7 +84,7 @@ def _name(r: random.Random) -> str:
 
 
 # Formats of phone numbers and of identity numbers.
-_PHONES = "555-0199|899-9999|899 9999|555 0199|555-0199|899-9999|(899) 555-0199|899-555-0199|899.555.0199|(899) 555 0199|+1 899 555 0199|+1 (899) 555-0199|+18995550199|020 7946 0999|01632 960999|07700 900999|+44 20 7946 0999|+44 7700 900999|+44 (0)1632 960999|0044 7700 900 999|00 44 20 7946 0999|+34 699 999 999|699 99 99 99|0034-699-999-999|(+34) 699.999.999|+34699999999|0171 9999999|0171-9999999|0171/9999999|030 9999999|(030) 99999999|030/99999-99|030 / 99999-99|+49 171 9999999|+49 (0)171-9999999|+49 30 99999 99|0049 171 9999999|+4917199999999|+63 899 999 9999|0899-999-9999|(0899) 9999999|0899 999 9999|+63899 9999999|+638999999999|(02) 8999 9999|+33 1 99 99 99 99|+31 20 999 9999".split("|")
+_PHONES = "555-0199|899-9999|899.9999|899 9999|555 0199|555-0199|899-9999|(899) 555-0199|899-555-0199|899.555.0199|(899) 555 0199|+1 899 555 0199|+1 (899) 555-0199|+18995550199|020 7946 0999|01632 960999|07700 900999|+44 20 7946 0999|+44 7700 900999|+44 (0)1632 960999|0044 7700 900 999|00 44 20 7946 0999|+34 699 999 999|699 99 99 99|0034-699-999-999|(+34) 699.999.999|+34699999999|0171 9999999|0171-9999999|0171/9999999|030 9999999|(030) 99999999|030/99999-99|030 / 99999-99|+49 171 9999999|+49 (0)171-9999999|+49 30 99999 99|0049 171 9999999|+4917199999999|+63 899 999 9999|0899-999-9999|(0899) 9999999|0899 999 9999|+63899 9999999|+638999999999|(02) 8999 9999|+33 1 99 99 99 99|+31 20 999 9999".split("|")
 _IDS = "999-99-9999|999 99 9999|899999999|AA 99 99 99 A|AA999999A|99999999A|99.999.999-A|99999999-A|A9999999A|A-9999999-A|AA9999999|A99999999|AA 999 9999|A99A99A99|AA99A99A9|9999-9999-9999-9999|9999 9999 9999 9999|99-9999999-9|999-999-999-999|AA-AA-999999|SB-999999|99 999999 A 999|9999999999|99 99 99 99 999|A999999999".split("|")
 _THING_NUMBERS = "9999-9999-99|9999-999-999|A999-99|AA/99999|999-99-9999|9999 9999 9999 9999|999999999|AA9999999|899999|SN 9999-999-999|AA-9999-A|99999999|9999-99-9|A-999999|999.999.999|9999/99|AAA-99999|999 999 999|9999-99-99-9".split("|")
 
@@ -128,6 +131,7 @@ def _other(r: random.Random, slot: str) -> str:
         "L": lambda: r.choice([f"{made} {r.choice(_PLACE)}", f"{r.choice(_COLOURS)} {r.choice(_PLACE)}", f"Port {made}", f"San {made}", f"{made}hafen", f"Puerto {made}", made, f"{made} City", f"Barangay {made}"]),
         "F": lambda: f"{made} {r.choice(['Ltd', 'GmbH', 'Foods', 'Fisheries', 'S.L.', 'Inc', 'Trading', 'Fisch GmbH', '& Sons'])}", "D": lambda: r.choice([f"20{r.randrange(20, 40)}-0{r.randrange(1, 10)}-{r.randrange(10, 29)}", f"{r.randrange(10, 29)}.0{r.randrange(1, 10)}.20{r.randrange(20, 40)}", f"{r.randrange(1, 29)} May", "Monday"]),
         "C": lambda: f"{r.randrange(24):02}:{r.randrange(60):02}", "K": lambda: f"{r.randrange(1, 4000)} {r.choice(['kg', 'trays', 'boxes', 'fish', 'g', 'pieces', 'Kisten', 'cajas', 'piraso'])}", "Z": lambda: str(r.randrange(1, 9999)),
+        "G": lambda: _digits(r, r.choice(["199.9999", "199.9999", "89.99999", "899.9999", "199.999999", "8999.999"])),
     }[slot]()
 
 

@@ -172,6 +172,20 @@ def is_date(span: str) -> bool:
     return bool(re.match(r"(?:19|20)\d\d[01]", digits) or re.match(r"[0-3]\d?[01]\d?(?:19|20)\d\d$", digits))
 
 
+#: Two decimal fractions, one behind the other; the second is only looked at, as it may begin another pair.
+_pair = re.compile(r"(?<![\w.])[+\-−]?(\d{1,3}\.\d{3,12})(?: ?°)?(?: ?[NSEWO])? ?[,;/] ?(?=[+\-−]?(\d{1,3}\.\d{3,12})(?!\w|[.\-]\d))")
+_PAIR = 48  # characters that a pair has at most
+
+
+def is_position(text: str, a: int, b: int) -> bool:
+    """Whether the span meets a latitude and a longitude, in either order."""
+    for m in _pair.finditer(text, max(0, a - _PAIR), b + _PAIR):
+        one, two = m.groups()
+        if m.start(1) < b and m.end(2) > a and max(float(one), float(two)) <= 180 and min(float(one), float(two)) <= 90 and not any(v[0] == "0" and v[1] != "." for v in (one, two)):
+            return True
+    return False
+
+
 def numbers(text: str) -> Iterator[tuple[int, int]]:
     for m in _run.finditer(text):
         if m.end() - m.start() < 7 or digits_of(m.group()) < 7:
