@@ -174,3 +174,21 @@ def test_teacher_knows_decimals():
     scorer = pii.Scorer(pii.teach([], pii.Evidence([], [], set()), pii_rows.rows(5000)))
     texts = ["Anchored at 8.9691, 110.6860, no wind.", "The buoy drifted to longitude 110.6860 overnight.", "Final loss 127.4410 after two epochs.", "Please call 555.0199 before noon."]
     assert [[t[a:b] for a, b, _ in of] for t, of in zip(texts, pii.scan_all(texts, scorer))] == [[], [], [], ["555.0199"]]
+
+
+def test_rare_statistics_count(spark, texts, monkeypatch):
+    """The findings don't depend on how many statistics the model holds itself."""
+    monkeypatch.setattr(pii, "SAMPLE", 200)
+    monkeypatch.setattr(pii_rows, "rows", lambda n=1500, make=pii_rows.rows: make(n))
+    people = spark.createDataFrame(texts[0], "given_name string, family_name string")
+    documents = spark.createDataFrame([(i, t, "k", "v") for i, t in enumerate([*texts[1], texts[1][0], "", None])], DOC)
+    whole = pii.train(documents, people)
+    monkeypatch.setattr(pii, "WORDS", 30)
+    monkeypatch.setattr(pii, "KEYS", 60)
+    small = pii.train(documents, people)
+    assert len(small["shares"]) < 70 < len(whole["shares"]) and len(small["lexicon"]) < len(whole["lexicon"])
+    a, b = (sorted(map(tuple, pii.findings(documents, people, m).collect())) for m in (whole, small))
+    assert len(a) > 300 and a == b
+    a, b = (sorted(map(str, pii.redacted(documents, people, m).collect())) for m in (whole, small))
+    assert a == b
+    assert pii.findings(documents, people, {k: v for k, v in small.items() if k != "rare"}).count() != pii.findings(documents, people, whole).count()
